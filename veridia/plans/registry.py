@@ -1,7 +1,434 @@
-"""All registered queries of the relational engine and their SQL."""
+"""All registered queries of the relational engine and their SQL.
+
+A query applies one operator to records derived from the driver's tables; its
+SQL says the same independently. Sums of doubles are rounded to six places on
+both sides, as their order is free.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify as C
+from ..functions import semantics as S
+from ..operators import aggregates as A
+from ..operators import joins as J
+from ..operators import ranking as R
+from . import standins as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "treatment_control_comparison"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL; ROWS, ITEMS and MUTANTS there name the derived tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            used = [f"{n} AS ({getattr(T, n)})" for n in ("ROWS", "ITEMS", "MUTANTS") if n in sql]
+            head = sql.lstrip()
+            if head.upper().startswith("WITH "):
+                head = head[5:].lstrip()
+                ORACLE_SQL[f.__name__] = "WITH " + ", ".join([*used, head])
+            else:
+                ORACLE_SQL[f.__name__] = ("WITH " + ", ".join(used) + " " if used else "") + head
+        return f
+
+    return add
+
+
+def six(df: DataFrame) -> DataFrame:
+    """Double columns rounded to six places."""
+    return df.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if t in ("double", "float") or t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+
+
+def cohort(rows: DataFrame) -> DataFrame:
+    """Numerators and denominators per model, strategy, metric and construct."""
+    return rows.select("model", "strategy", "metric", "construct", "numerator", "denominator")
+
+
+@query("""
+    WITH X AS (
+        SELECT coalesce(model_id, 'None') AS model, prompt_template AS strategy, 'BVA' AS metric, category AS construct,
+               CASE WHEN covered THEN 1.0 ELSE 0.0 END AS num, 1 AS den, r.row_id % 2 = 0 AS t
+        FROM ROWS r JOIN ITEMS i ON r.row_id = i.row_id WHERE execution_passed AND coalesce(run_id, '') <> 'java-v2-mixed-gemma-panta-control-full'
+        UNION ALL
+        SELECT coalesce(model_id, 'None'), prompt_template, 'CFA', construct, coalesce(score, 0.0), CASE WHEN i.represented THEN 1 ELSE 0 END, r.row_id % 2 = 0
+        FROM ROWS r JOIN ITEMS i ON r.row_id = i.row_id WHERE execution_passed AND coalesce(run_id, '') <> 'java-v2-mixed-gemma-panta-control-full' AND extreme_status = 'passed'),
+    G AS (SELECT model, strategy, metric, construct,
+        CAST(coalesce(sum(num) FILTER (t), 0) AS DOUBLE) AS tn, CAST(coalesce(sum(den) FILTER (t), 0) AS BIGINT) AS td,
+        CAST(coalesce(sum(num) FILTER (NOT t), 0) AS DOUBLE) AS cn, CAST(coalesce(sum(den) FILTER (NOT t), 0) AS BIGINT) AS cd FROM X GROUP BY ALL)
+    SELECT model, strategy, metric, construct, round(tn, 6) AS treatment_numerator, td AS treatment_denominator, round(tn / nullif(td, 0), 6) AS treatment_score,
+           round(cn, 6) AS control_numerator, cd AS control_denominator, round(cn / nullif(cd, 0), 6) AS control_score,
+           round(tn / nullif(td, 0) - cn / nullif(cd, 0), 6) AS treatment_minus_control FROM G""")
+def treatment_control_comparison(spark, sf):
+    rows, items = T.rows(spark, sf), T.items(spark, sf)
+    rows = rows.where(S.truthy("execution_passed") & S.not_in("run_id", S.EXCLUDED_RUNS))
+    both = rows.select("row_id", S.group_key("model_id").alias("model"), F.col("prompt_template").alias("strategy"), "extreme_status").join(items, "row_id")
+    bva = F.struct(F.lit("BVA").alias("metric"), F.col("category").alias("construct"), F.col("covered").cast("double").alias("numerator"), F.lit(1).alias("denominator"))
+    cfa = F.struct(F.lit("CFA").alias("metric"), F.col("construct").alias("construct"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("numerator"), F.col("represented").cast("int").alias("denominator"))
+    pairs = F.when(F.col("extreme_status") == "passed", F.array(bva, cfa)).otherwise(F.array(bva))
+    long = both.select("row_id", "model", "strategy", F.explode(pairs).alias("x")).select("row_id", "model", "strategy", "x.*")
+    even = F.col("row_id") % 2 == 0
+    return six(J.compare_cohorts(cohort(long.where(even)), cohort(long.where(~even)), ["model", "strategy", "metric", "construct"]))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (compile_passed) AS compiled, count(*) FILTER (execution_passed) AS executed,
+    count(*) - count(*) FILTER (execution_passed) AS non_executable FROM ROWS""")
+def execution_funnel(spark, sf):
+    return A.execution_funnel(T.rows(spark, sf))
+
+
+@query("""
+    WITH E AS (SELECT *, coalesce(execution_passed, false) AS x, NOT coalesce(target_is_private, false) AS p,
+                      coalesce(assertion_mutation_raw_status, 'missing') NOT IN ('', 'missing') AS a FROM ROWS)
+    SELECT count(*) AS rows, count(*) FILTER (x) AS executed, count(*) FILTER (x AND p) AS executed_public, count(*) FILTER (a) AS raw_evidence,
+        count(*) FILTER (x AND p AND a) AS with_evidence, count(*) FILTER (x AND p AND a AND assertion_mutation_status = 'passed') AS passed_evidence,
+        CAST(coalesce(sum(total_items) FILTER (x AND p AND a), 0) AS BIGINT) AS obligations, CAST(coalesce(sum(reached_items) FILTER (x AND p AND a), 0) AS BIGINT) AS reached,
+        CAST(coalesce(sum(represented_items) FILTER (x AND p AND a), 0) AS BIGINT) AS represented, CAST(coalesce(sum(scorable_items) FILTER (x AND p AND a), 0) AS BIGINT) AS scorable,
+        CAST(coalesce(sum(checked_items) FILTER (x AND p AND a), 0) AS BIGINT) AS checked, count(*) - count(*) FILTER (x) AS non_executable,
+        count(*) FILTER (x) - count(*) FILTER (x AND p) AS executed_private FROM E""")
+def assertion_funnel(spark, sf):
+    return A.assertion_funnel(T.rows(spark, sf))
+
+
+@query("""
+    WITH E AS (SELECT *, coalesce(execution_passed, false) AS x, coalesce(execution_passed, false) AND NOT coalesce(target_is_private, false) AS xp,
+                      coalesce(extreme_status, '') NOT IN ('', 'missing') AS a FROM ROWS)
+    SELECT count(*) AS rows, count(*) FILTER (x) AS executed, count(*) FILTER (xp) AS executed_public, count(*) FILTER (xp AND a) AS with_evidence,
+        count(*) FILTER (xp AND extreme_status = 'passed') AS passed_evidence,
+        CAST(coalesce(sum(total_items) FILTER (xp AND extreme_status = 'passed'), 0) AS BIGINT) AS obligations, CAST(coalesce(sum(represented_items) FILTER (xp AND extreme_status = 'passed'), 0) AS BIGINT) AS represented,
+        CAST(coalesce(sum(scorable_items) FILTER (xp AND extreme_status = 'passed'), 0) AS BIGINT) AS scorable, CAST(coalesce(sum(checked_items) FILTER (xp AND extreme_status = 'passed'), 0) AS BIGINT) AS checked FROM E""")
+def control_flow_funnel(spark, sf):
+    return A.control_flow_funnel(T.rows(spark, sf))
+
+
+@query("""
+    WITH E AS (SELECT *, coalesce(execution_passed, false) AS x, coalesce(execution_passed, false) AND NOT coalesce(target_is_private, false) AS p
+               FROM ROWS WHERE coalesce(run_id, '') <> 'java-v2-mixed-gemma-panta-control-full'),
+    G AS (SELECT count(*) AS rows, count(*) FILTER (x) AS executed, count(*) FILTER (p) AS eligible, CAST(coalesce(sum(total_items) FILTER (p), 0) AS BIGINT) AS total,
+        CAST(coalesce(sum(reached_items) FILTER (p), 0) AS BIGINT) AS reached, CAST(coalesce(sum(represented_items) FILTER (p), 0) AS BIGINT) AS represented, CAST(coalesce(sum(checked_items) FILTER (p), 0) AS BIGINT) AS checked FROM E)
+    SELECT *, round(executed / nullif(rows, 0), 6) AS executed_rate, round(eligible / nullif(executed, 0), 6) AS eligible_rate, round(reached / nullif(total, 0), 6) AS reached_rate,
+        round(represented / nullif(reached, 0), 6) AS represented_rate, round(checked / nullif(represented, 0), 6) AS checked_rate FROM G""")
+def eligibility_funnel(spark, sf):
+    return six(A.eligibility_funnel(T.rows(spark, sf), S.EXCLUDED_RUNS))
+
+
+@query("SELECT coalesce(model_id, '?') AS model, coalesce(prompt_template, '?') AS prompt, count(*) AS n_rows FROM ROWS GROUP BY ALL")
+def configuration_counts(spark, sf):
+    return A.configuration_counts(T.rows(spark, sf))
+
+
+@query("""SELECT coalesce(nullif(failure_family, ''), 'unknown') AS family, coalesce(nullif(failure_category, ''), 'unknown') AS category, count(*) AS n
+    FROM ROWS WHERE NOT coalesce(execution_passed, false) GROUP BY ALL""")
+def failure_counts(spark, sf):
+    return A.failure_counts(T.rows(spark, sf))
+
+
+@query("SELECT coalesce(nullif(error_stage, ''), 'unknown') AS stage, count(*) AS n FROM ROWS WHERE NOT coalesce(execution_passed, false) GROUP BY ALL")
+def failure_stage_counts(spark, sf):
+    return A.failure_stage_counts(T.rows(spark, sf))
+
+
+CROSS = ["compile_failure/type_mismatch", "execution_failure/timeout_or_hang", "unknown/unknown"]
+
+
+@query("""
+    WITH E AS (SELECT coalesce(complexity_bucket, 'None') AS bucket, coalesce(nullif(failure_family, ''), 'unknown') || '/' || coalesce(nullif(failure_category, ''), 'unknown') AS c FROM ROWS WHERE NOT coalesce(execution_passed, false))
+    SELECT bucket, count(*) AS n, count(*) FILTER (c = 'compile_failure/type_mismatch') AS "compile_failure/type_mismatch",
+        count(*) FILTER (c = 'execution_failure/timeout_or_hang') AS "execution_failure/timeout_or_hang", count(*) FILTER (c = 'unknown/unknown') AS "unknown/unknown" FROM E GROUP BY bucket""")
+def failure_cross_tab(spark, sf):
+    return A.failure_cross_tab(T.rows(spark, sf), CROSS)
+
+
+@query("""SELECT category, count(DISTINCT row_id) AS applicable_rows, count(DISTINCT row_id) FILTER (covered) AS covered_rows, count(*) AS applicable_items,
+    count(*) FILTER (covered) AS covered_items, round(count(*) FILTER (covered) / count(*), 6) AS coverage_rate FROM ITEMS GROUP BY category""")
+def boundary_category_coverage(spark, sf):
+    items = T.items(spark, sf)
+    return six(A.category_coverage(items, items.where("covered")))
+
+
+@query("""WITH P AS (SELECT row_id, parameter, avg(CASE WHEN covered THEN 1.0 ELSE 0.0 END) AS r FROM ITEMS GROUP BY ALL)
+    SELECT row_id, round(avg(r), 6) AS score FROM P GROUP BY row_id""")
+def row_boundary_score(spark, sf):
+    return six(A.row_boundary_score(T.items(spark, sf)))
+
+
+@query("""SELECT count(*) AS applicable_rows, CAST(sum(checked_items) AS DOUBLE) AS numerator, CAST(sum(total_items) AS BIGINT) AS denominator, round(sum(checked_items) / sum(total_items), 6) AS micro_score,
+    round(avg(row_score), 6) AS avg_row_score, round(avg(mutation_score), 6) AS avg_mutation FROM ROWS WHERE execution_passed AND row_score IS NOT NULL""")
+def ratio_metrics(spark, sf):
+    return six(A.micro_macro(T.rows(spark, sf), "row_score", "checked_items", "total_items"))
+
+
+@query("""SELECT prompt_template, count(*) AS applicable_rows, CAST(sum(checked_items) AS DOUBLE) AS numerator, CAST(sum(total_items) AS BIGINT) AS denominator, round(sum(checked_items) / sum(total_items), 6) AS micro_score,
+    round(avg(row_score), 6) AS avg_row_score, round(avg(mutation_score), 6) AS avg_mutation FROM ROWS WHERE execution_passed AND row_score IS NOT NULL GROUP BY prompt_template""")
+def ratio_adequacy_by_prompt(spark, sf):
+    return six(A.micro_macro(T.rows(spark, sf), "row_score", "checked_items", "total_items", ["prompt_template"]))
+
+
+@query("""
+    WITH E AS (SELECT * FROM ROWS WHERE execution_passed),
+    K AS (SELECT prompt_template AS configuration, * FROM E UNION ALL SELECT 'all', * FROM E)
+    SELECT configuration, CAST(coalesce(sum(checked_items), 0) AS DOUBLE) AS checked_top, CAST(coalesce(sum(total_items), 0) AS BIGINT) AS checked_bottom, round(sum(checked_items) / sum(total_items), 6) AS checked_joint,
+        CAST(coalesce(sum(reached_items), 0) AS DOUBLE) AS reached_top, CAST(coalesce(sum(total_items), 0) AS BIGINT) AS reached_bottom, round(sum(reached_items) / sum(total_items), 6) AS reached_joint
+    FROM K GROUP BY configuration""")
+def joint_reached_checked(spark, sf):
+    return six(A.joint_with_total(T.rows(spark, sf), "prompt_template", {"checked": ("checked_items", "total_items"), "reached": ("reached_items", "total_items")}))
+
+
+SCOPE_SQL = """
+    WITH E AS (SELECT *, coalesce(subsumed, false) AS b FROM ITEMS WHERE construct IN ('return_behavior', 'exception_behavior')),
+    G AS (SELECT {key}, count(*) AS total_items, count(*) FILTER (NOT b AND coalesce(status, '') <> 'not_reached') AS reached_items, count(*) FILTER (NOT b AND status = 'not_reached') AS not_reached_items,
+        count(*) FILTER (NOT b AND score IS NOT NULL) AS scorable_items,
+        count(*) FILTER (b OR coalesce(status, '') IN ('not_generated', 'out_of_scope', 'compile_error', 'timeout', 'coverage_unverified') OR coalesce(outcome, '') IN ('not_generated', 'out_of_scope', 'compile_error', 'timeout', 'coverage_unverified')) AS non_representable_items,
+        count(*) FILTER (NOT b AND score > 0) AS checked_items, count(*) FILTER (NOT b AND outcome = 'killed_by_oracle') AS oracle_killed_items, count(*) FILTER (NOT b AND outcome = 'killed_incidentally') AS incidentally_killed_items,
+        count(*) FILTER (NOT b AND outcome = 'survived') AS survived_items, count(*) FILTER (NOT b AND outcome = 'survived_path_changed') AS survived_path_changed_items, count(*) FILTER (NOT b AND status = 'coverage_unverified') AS coverage_unverified_items,
+        count(*) FILTER (b) AS unmeasurable_items, count(*) FILTER (NOT b AND represented) AS represented_items, CAST(coalesce(sum(score) FILTER (NOT b), 0) AS DOUBLE) AS score_sum,
+        count(*) FILTER (NOT b AND score IS NOT NULL) + count(*) FILTER (NOT b AND status IN ('not_generated', 'out_of_scope')) AS pessimistic_denominator FROM E GROUP BY {key})
+    SELECT *, round(score_sum / nullif(scorable_items, 0), 6) AS score, round(score_sum / nullif(pessimistic_denominator, 0), 6) AS pessimistic_score,
+        round(represented_items / nullif(reached_items, 0), 6) AS representability_rate, round(scorable_items / nullif(reached_items, 0), 6) AS scorable_rate FROM G"""
+
+
+@query(SCOPE_SQL.format(key="construct"))
+def assertion_scope_by_construct(spark, sf):
+    return six(A.scope_summary(T.items(spark, sf), ["construct"]))
+
+
+@query(SCOPE_SQL.format(key="subcategory"))
+def return_subcategory_summary(spark, sf):
+    return six(A.scope_summary(T.items(spark, sf), ["subcategory"]))
+
+
+@query(SCOPE_SQL.format(key="row_id"))
+def assertion_scope_by_row(spark, sf):
+    return six(A.scope_summary(T.items(spark, sf), ["row_id"]))
+
+
+@query("""
+    WITH V AS (SELECT *, CASE WHEN represented AND NOT sensitivity_only THEN CASE outcome WHEN 'killed_by_oracle' THEN 1.0 WHEN 'survived' THEN 0.0 WHEN 'killed_incidentally' THEN 0.0 END END AS s FROM ITEMS),
+    G AS (SELECT row_id, construct, count(*) AS variants, count(*) FILTER (represented) AS represented_variants, count(s) AS scored_variants, round(avg(s), 6) AS score, CAST(max(s) AS DOUBLE) AS any_killed, CAST(min(s) AS DOUBLE) AS all_killed,
+        bool_or(represented AND outcome = 'killed_by_oracle') AS o1, bool_or(represented AND outcome = 'killed_incidentally') AS o2, bool_or(represented AND outcome = 'survived_path_changed') AS o3,
+        bool_or(NOT represented AND coalesce(outcome, status) = 'coverage_unverified') AS s1, bool_or(NOT represented AND coalesce(outcome, status) = 'out_of_scope') AS s2 FROM V GROUP BY row_id, construct)
+    SELECT row_id, construct, variants, represented_variants, scored_variants, score, any_killed, all_killed, represented_variants > 0 AS represented,
+        CASE WHEN represented_variants > 0 THEN CASE WHEN o1 THEN 'killed_by_oracle' WHEN o2 THEN 'killed_incidentally' WHEN o3 THEN 'survived_path_changed' ELSE 'survived' END
+             WHEN s1 THEN 'coverage_unverified' WHEN s2 THEN 'out_of_scope' ELSE 'not_generated' END AS outcome FROM G""")
+def variant_scores(spark, sf):
+    return six(A.variants_to_items(T.items(spark, sf), ["row_id", "construct"]))
+
+
+@query("""
+    WITH I AS (SELECT row_id, construct, count(*) AS n, count(*) FILTER (flow_status IN ('killed', 'survived')) AS r, count(*) FILTER (flow_status = 'killed') AS k FROM MUTANTS GROUP BY row_id, construct)
+    SELECT construct, count(*) AS total, count(*) FILTER (r = n) AS scorable, round(coalesce(sum(k / n) FILTER (r = n), 0), 6) AS score_sum, count(*) FILTER (r = n AND k > 0) AS checked,
+        round(sum(k / n) FILTER (r = n) / nullif(count(*) FILTER (r = n), 0), 6) AS score, round(count(*) FILTER (r = n AND k > 0) / count(*), 6) AS pessimistic FROM I GROUP BY construct""")
+def control_flow_summary(spark, sf):
+    variants = T.mutants(spark, sf).withColumn("status", F.col("flow_status"))
+    return six(A.control_flow_summary(A.control_flow_items(variants, ["row_id", "construct"]), ["construct"]))
+
+
+@query("""SELECT construct, count(*) AS n, count(*) FILTER (s = 0) AS n0, count(*) FILTER (s = 1) AS n1, count(*) FILTER (s = 2) AS n2, count(*) FILTER (s > 0 AND s < 1) AS low, count(*) FILTER (s >= 1 AND s < 2) AS high,
+    round(count(*) FILTER (s = 0) / count(*), 6) AS share0, round(count(*) FILTER (s = 1) / count(*), 6) AS share1, round(count(*) FILTER (s = 2) / count(*), 6) AS share2 FROM (SELECT construct, oracle_level / 2.0 AS s FROM ITEMS) GROUP BY construct""")
+def oracle_histogram(spark, sf):
+    return six(A.histogram_0_1_2(T.items(spark, sf).withColumn("s", F.col("oracle_level") / 2), ["construct"], "s"))
+
+
+@query("""SELECT row_id, count(*) AS mutants_total, count(*) FILTER (status = 'KILLED') AS killed, count(*) FILTER (status = 'SURVIVED') AS survived, count(*) FILTER (status = 'NO_COVERAGE') AS no_coverage,
+    round(count(*) FILTER (status = 'KILLED') / nullif(count(*) FILTER (status IN ('KILLED', 'SURVIVED', 'NO_COVERAGE')), 0), 6) AS score FROM MUTANTS GROUP BY row_id""")
+def mutant_status_counts(spark, sf):
+    return six(A.mutant_status_counts(T.mutants(spark, sf), ["row_id"]))
+
+
+@query("""SELECT complexity_bucket, count(*) AS n_rows, count(mutation_score) AS scored_rows, round(avg(mutation_score), 6) AS macro, round(sum(checked_items) / nullif(sum(checked_items) + sum(scorable_items) + sum(represented_items), 0), 6) AS weighted,
+    round(avg(row_score), 6) AS avg_line_rate, round(avg(row_score / 2), 6) AS avg_branch_rate FROM ROWS GROUP BY complexity_bucket""")
+def mutation_summary(spark, sf):
+    rows = T.rows(spark, sf).withColumns({"killed": F.col("checked_items"), "survived": F.col("scorable_items"), "no_coverage": F.col("represented_items"), "line_rate": F.col("row_score"), "branch_rate": F.col("row_score") / 2})
+    return six(A.mutation_summary(rows, ["complexity_bucket"]))
+
+
+@query("""WITH E AS (SELECT row_id, array_to_string(list_sort(list_distinct(list(subcategory))), ';') AS rule, avg(score) AS score FROM ITEMS GROUP BY row_id)
+    SELECT rule, count(*) AS total, count(score) AS scorable, count(*) FILTER (score > 0) AS checked, round(coalesce(sum(score), 0), 6) AS score_sum, round(avg(score), 6) AS score FROM E GROUP BY rule""")
+def object_rule_summary(spark, sf):
+    items = T.items(spark, sf).groupBy("row_id").agg(F.collect_set("subcategory").alias("rules"), F.avg("score").alias("score"))
+    return six(A.object_rule_summary(items))
+
+
+@query("""WITH T AS (SELECT role, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM conversations), N AS (SELECT role, token, count(*) AS n FROM T WHERE token <> '' GROUP BY ALL),
+    K AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, token) AS k FROM N) SELECT role, token, n FROM K WHERE k <= 50""")
+def token_top(spark, sf):
+    tokens = T.table(spark, sf, "conversations").select("role", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token")).where("token <> ''")
+    return A.token_top(tokens, ["role"]).select("role", F.explode("tokens").alias("token", "n"))
+
+
+@query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def attach_evidence(spark, sf):
+    return J.attach_evidence(T.table(spark, sf, "documents").select("doc_id", "source"), T.table(spark, sf, "labels"), ["doc_id"], ["quality", "toxic"], ["quality", "toxic"])
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def last_event_wins(spark, sf):
+    return S.last_wins(T.table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT row_id, item_id FROM ITEMS i WHERE NOT EXISTS (SELECT 1 FROM ROWS r WHERE r.row_id = i.row_id AND r.assertion_mutation_status = 'passed')")
+def resume_pending(spark, sf):
+    done = T.rows(spark, sf).select("row_id", F.col("assertion_mutation_status").alias("collector_version"))
+    return J.resume(T.items(spark, sf).select("row_id", "item_id"), done, ["row_id"], "passed")
+
+
+@query("""SELECT row_id, model_id, complexity_bucket, EXISTS (SELECT 1 FROM (SELECT DISTINCT model_id AS m, complexity_bucket AS b FROM ROWS WHERE extreme_status = 'failed' AND row_id % 3 = 0) c
+    WHERE c.m IS NOT DISTINCT FROM ROWS.model_id AND c.b IS NOT DISTINCT FROM ROWS.complexity_bucket) AS covered FROM ROWS""")
+def boundary_items_covered(spark, sf):
+    rows = T.rows(spark, sf).select("row_id", "model_id", "complexity_bucket", "extreme_status")
+    covered = T.rows(spark, sf).where("extreme_status = 'failed' AND row_id % 3 = 0")
+    return J.mark_covered(rows, covered, ["model_id", "complexity_bucket"]).drop("extreme_status")
+
+
+@query("""WITH H AS (SELECT i.row_id, i.item_id, list_sort(list_distinct(list(m.status))) AS s FROM ITEMS i JOIN MUTANTS m ON m.row_id = i.row_id AND m.line BETWEEN i.line AND i.line + 2 GROUP BY ALL)
+    SELECT i.row_id, i.item_id, array_to_string(coalesce(s, []), ',') AS statuses, CASE WHEN list_contains(s, 'KILLED') THEN 'covered' WHEN list_contains(s, 'SURVIVED') OR list_contains(s, 'NO_COVERAGE') THEN 'missed' WHEN len(s) > 0 THEN 'other' ELSE 'unmutated' END AS match
+    FROM ITEMS i LEFT JOIN H ON H.row_id = i.row_id AND H.item_id = i.item_id""")
+def obligation_mutant_match(spark, sf):
+    items = T.items(spark, sf).select("row_id", "item_id", F.sequence("line", F.col("line") + 2).alias("lines"))
+    out = J.match_lines(items, T.mutants(spark, sf), ["row_id"])
+    return out.select("row_id", "item_id", F.array_join("statuses", ",").alias("statuses"), "match")
+
+
+MODELS, PROMPTS = ["AUTOMOBILE", "BUILDING", "ROBOTICS"], ["1-URGENT", "2-HIGH", "6-NONE"]
+
+
+@query("""
+    WITH F AS (SELECT coalesce(model_id, 'None') AS model, prompt_template AS strategy, complexity_bucket AS task, count(*) AS n FROM ROWS WHERE complexity_bucket IS NOT NULL GROUP BY ALL),
+    X AS (SELECT m.model, s.strategy, t.task FROM (VALUES ('AUTOMOBILE'), ('BUILDING'), ('ROBOTICS')) m(model), (VALUES ('1-URGENT'), ('2-HIGH'), ('6-NONE')) s(strategy), (SELECT DISTINCT task FROM F) t)
+    SELECT CASE WHEN F.n IS NULL THEN 'missing' WHEN X.model IS NULL THEN 'unexpected' ELSE 'duplicate' END AS problem, coalesce(X.model, F.model) AS model, coalesce(X.strategy, F.strategy) AS strategy,
+        coalesce(X.task, F.task) AS task, coalesce(F.n, 0) AS n FROM X FULL JOIN F ON X.model = F.model AND X.strategy = F.strategy AND X.task = F.task WHERE F.n IS NULL OR X.model IS NULL OR F.n > 1""")
+def grid_completeness(spark, sf):
+    found = T.rows(spark, sf).where("complexity_bucket IS NOT NULL").select(S.group_key("model_id").alias("model"), F.col("prompt_template").alias("strategy"), F.col("complexity_bucket").alias("task"))
+    return J.completeness(found, MODELS, PROMPTS, found)
+
+
+@query("""WITH V AS (SELECT s_nationkey AS k, CAST(s_suppkey AS INT) AS lo, CAST(s_suppkey + s_suppkey % 40 AS INT) AS hi FROM supplier)
+    SELECT c_custkey, c_nationkey, V.lo, V.hi FROM customer JOIN V ON c_nationkey = V.k AND c_custkey BETWEEN V.lo AND V.hi""")
+def lines_in_ranges(spark, sf):
+    spans = T.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").cast("int").alias("lo"), (F.col("s_suppkey") + F.col("s_suppkey") % 40).cast("int").alias("hi"))
+    return J.in_intervals(T.table(spark, sf, "customer").select("c_custkey", "c_nationkey"), spans, "c_nationkey", "c_custkey", 16)
+
+
+@query("""WITH G AS (SELECT construct, count(*) AS n FROM ITEMS GROUP BY construct), S AS (SELECT count(*) FILTER (subsumed) AS f, count(*) FILTER (construct = 'exception_behavior' AND NOT subsumed) AS v FROM ITEMS)
+    SELECT construct, CAST(CASE WHEN construct = 'exception_behavior' AND f > 0 THEN v ELSE n END AS BIGINT) AS n FROM G, S""")
+def exception_override(spark, sf):
+    items = T.items(spark, sf)
+    per_row = items.groupBy("row_id").agg(S.count_where("subsumed").alias("flag"), S.count_where((F.col("construct") == "exception_behavior") & ~F.col("subsumed")).alias("n"))
+    return J.override_from_total(items.groupBy("construct").agg(F.count(F.lit(1)).alias("n")), per_row, "exception_behavior", "construct", "n", "flag")
+
+
+@query("""SELECT row_id, item_id, CASE WHEN k <= 1 THEN 'direct' WHEN k <= 3 THEN 'weak' ELSE 'none' END AS evidence FROM (SELECT row_id, item_id, row_number() OVER (PARTITION BY row_id ORDER BY item_id) AS k FROM ITEMS)""")
+def evidence_budget(spark, sf):
+    return R.budget(T.items(spark, sf).select("row_id", "item_id"), ["row_id"], ["item_id"], F.lit(1), F.lit(2))
+
+
+@query("""SELECT row_id, item_id, last_value(CASE WHEN covered THEN category END IGNORE NULLS) OVER (PARTITION BY row_id ORDER BY item_id, parameter, line, covered, category ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current_case FROM ITEMS""")
+def switch_carry_forward(spark, sf):
+    items = T.items(spark, sf).select("row_id", "item_id", "covered", "category", F.struct("item_id", "parameter", "line", "covered", "category").alias("at"))
+    return R.carry_forward(items, ["row_id"], "at", F.when(F.col("covered"), F.col("category")), "current_case").select("row_id", "item_id", "current_case")
+
+
+@query("SELECT row_id, item_id, coalesce(lead(item_id) OVER (PARTITION BY row_id ORDER BY item_id) - 1, 99) AS \"end\" FROM ITEMS")
+def case_span_ends(spark, sf):
+    return R.next_start(T.items(spark, sf).select("row_id", "item_id"), ["row_id"], "item_id", F.lit(99))
+
+
+@query("SELECT row_id, item_id, CAST(coalesce(sum(CASE WHEN covered THEN 1 ELSE -1 END) OVER (PARTITION BY row_id ORDER BY item_id, parameter, line, covered ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS depth FROM ITEMS")
+def brace_depth(spark, sf):
+    items = T.items(spark, sf).select("row_id", "item_id", "covered", F.struct("item_id", "parameter", "line", "covered").alias("at"))
+    return R.depth_before(items, ["row_id"], "at", F.when(F.col("covered"), 1).otherwise(-1)).select("row_id", "item_id", "depth")
+
+
+@query("SELECT construct, outcome, n, round(n / sum(n) OVER (PARTITION BY construct), 6) AS share FROM (SELECT construct, outcome, count(*) AS n FROM ITEMS GROUP BY ALL)")
+def outcome_shares(spark, sf):
+    return six(R.share_of_group(T.items(spark, sf).groupBy("construct", "outcome").agg(F.count(F.lit(1)).alias("n")), ["construct"]))
+
+
+@query("""WITH U AS (SELECT row_id, coalesce(execution_passed, false) AS done FROM ROWS), K AS (SELECT row_id FROM U WHERE NOT done ORDER BY row_id LIMIT 100)
+    SELECT row_id, done, NOT done AND row_id IN (SELECT row_id FROM K) AS process FROM U""")
+def process_limit(spark, sf):
+    rows = T.rows(spark, sf).select("row_id", S.truthy("execution_passed").alias("done"))
+    return R.unprocessed_limit(rows, F.col("done"), ["row_id"], 100)
+
+
+@query("SELECT row_id, construct, min(item_id) AS item_id FROM ITEMS GROUP BY row_id, construct")
+def first_of_key(spark, sf):
+    return R.keep_first(T.items(spark, sf).select("row_id", "construct", "item_id"), ["row_id", "construct"], "item_id")
+
+
+@query("""SELECT k, 'left' AS side FROM (SELECT p_partkey AS k FROM part EXCEPT ALL SELECT DISTINCT l_partkey FROM lineitem) UNION ALL
+    SELECT k, 'right' AS side FROM (SELECT DISTINCT l_partkey AS k FROM lineitem EXCEPT ALL SELECT p_partkey FROM part)""")
+def key_set_difference(spark, sf):
+    parts, used = T.table(spark, sf, "part").select(F.col("p_partkey").alias("k")), T.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("k")).distinct()
+    return R.set_difference(parts, used, ["k"])
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_property_counts(spark, sf):
+    return T.table(spark, sf, "events").select("event_type", (F.from_json("props", "k bigint")["k"] % 5).alias("k")).groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT construct, measure, CAST(sum(n) AS BIGINT) AS n FROM (SELECT construct, unnest(['total', 'covered']) AS measure, unnest([1, CASE WHEN covered THEN 1 ELSE 0 END]) AS n FROM ITEMS) GROUP BY ALL")
+def merged_counters(spark, sf):
+    items = T.items(spark, sf).select("construct", F.create_map(F.lit("total"), F.lit(1), F.lit("covered"), F.col("covered").cast("int")).alias("counter"))
+    return R.merge_counters(items, ["construct"], "counter")
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, 'licen[sc]ed? under', 'i') THEN 'license' WHEN regexp_matches(text, '@[a-z0-9.]+[.](com|org|net)', 'i') THEN 'address' WHEN regexp_matches(text, '[0-9]{12,}', 'i') THEN 'number' ELSE 'other' END AS class FROM documents""")
+def first_match_class(spark, sf):
+    rules = (("license", r"licen[sc]ed? under"), ("address", r"@[a-z0-9.]+[.](com|org|net)"), ("number", r"[0-9]{12,}"))
+    return T.table(spark, sf, "documents").select("doc_id", C.first_match(F.col("text"), rules, "other").alias("class"))
+
+
+@query("""WITH O AS (SELECT coalesce(model_id, 'unknown') AS model, prompt_template AS pipeline, CASE WHEN coalesce(execution_passed, false) THEN 'passed' WHEN coalesce(nullif(failure_category, ''), 'unknown') = 'timeout_or_hang' THEN 'timeout_or_hang'
+        WHEN failure_family = 'compile_failure' THEN 'compile_failure' WHEN failure_family = 'execution_failure' THEN 'execution_failure' ELSE 'unknown_failure' END AS outcome FROM ROWS)
+    SELECT model, pipeline, count(*) AS total, count(*) FILTER (outcome = 'passed') AS passed, count(*) FILTER (outcome = 'compile_failure') AS compile_failure, count(*) FILTER (outcome = 'execution_failure') AS execution_failure,
+        count(*) FILTER (outcome = 'timeout_or_hang') AS timeout_or_hang, count(*) FILTER (outcome = 'unknown_failure') AS unknown_failure FROM O GROUP BY ALL""")
+def run_outcomes(spark, sf):
+    rows = T.rows(spark, sf)
+    o = C.run_outcome(F.col("execution_passed"), F.col("failure_family"), F.col("failure_category"))["outcome"]
+    named = rows.select(C.short_model(F.col("model_id")).alias("model"), F.col("prompt_template").alias("pipeline"), o.alias("outcome"))
+    names = ["passed", "compile_failure", "execution_failure", "timeout_or_hang", "unknown_failure"]
+    return named.groupBy("model", "pipeline").agg(F.count(F.lit(1)).alias("total"), *[S.count_where(F.col("outcome") == n).alias(n) for n in names])
+
+
+@query("""SELECT row_id, CASE WHEN NOT coalesce(compile_passed, false) THEN 'test_failed' WHEN NOT coalesce(execution_passed, false) THEN 'not_collected' WHEN coalesce(assertion_mutation_raw_status, 'missing') IN ('', 'missing') THEN 'evidence_unavailable'
+    WHEN total_items = 0 THEN 'not_applicable' WHEN scorable_items = 0 THEN 'not_scorable' ELSE 'scored' END AS status FROM ROWS""")
+def public_metric_status(spark, sf):
+    status = C.metric_status(F.col("compile_passed"), F.col("execution_passed"), A.has_artifact(), F.col("total_items"), F.col("scorable_items"))
+    return T.rows(spark, sf).select("row_id", status.alias("status"))
+
+
+@query("""SELECT coalesce(model_id, 'None') AS model, count(row_score) AS n, CASE WHEN count(row_score) < 10 THEN 'suppressed' WHEN avg(row_score) IS NULL THEN 'N/A' ELSE printf('%.3f', round(avg(row_score), 6)) END AS shown
+    FROM ROWS WHERE complexity_bucket = 'low' GROUP BY ALL""")
+def suppressed_rates(spark, sf):
+    g = T.rows(spark, sf).where("complexity_bucket = 'low'").groupBy(S.group_key("model_id").alias("model")).agg(F.count("row_score").alias("n"), F.round(F.avg(F.col("row_score").cast("double")), 6).alias("m"))
+    return g.select("model", "n", S.fmt_least(F.col("m"), "n").alias("shown"))
+
+
+@query("""SELECT row_id, coalesce(complexity_bucket, 'unknown') AS bucket FROM ROWS WHERE coalesce(run_id, '') <> 'java-v2-mixed-gemma-panta-control-full' AND prompt_template IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+    AND prompt_template <> '2-HIGH' AND coalesce(complexity_bucket, 'unknown') IN ('low', 'unknown')""")
+def row_filter(spark, sf):
+    rows = T.rows(spark, sf).withColumn("bucket", S.bucket_of(F.col("complexity_bucket")))
+    keep = S.not_in("run_id", S.EXCLUDED_RUNS) & F.col("prompt_template").isin("1-URGENT", "2-HIGH", "3-MEDIUM") & S.not_in("prompt_template", ["2-HIGH"]) & F.col("bucket").isin("low", "unknown")
+    return rows.where(keep).select("row_id", "bucket")
+
+
+@query("""WITH L AS (SELECT row_id, list(line ORDER BY line) FILTER (covered) AS c FROM (SELECT DISTINCT row_id, line, covered FROM ITEMS) GROUP BY row_id)
+    SELECT i.row_id, i.item_id, CASE WHEN c IS NULL THEN 'unknown' WHEN list_contains(c, i.line) THEN 'reached' ELSE 'not_reached' END AS reach FROM ITEMS i JOIN L ON L.row_id = i.row_id""")
+def item_reach(spark, sf):
+    items = T.items(spark, sf).select("row_id", "item_id", "line", "covered")
+    cover = items.groupBy("row_id").agg(F.collect_set(F.when(F.col("covered"), F.col("line"))).alias("c")).withColumn("c", F.when(F.size("c") > 0, F.col("c")))
+    return items.join(cover, "row_id").select("row_id", "item_id", J.reach_status("line", "c").alias("reach"))
+
+
+@query("""SELECT construct, round(avg(CASE outcome WHEN 'killed_by_oracle' THEN 1.0 WHEN 'survived' THEN 0.0 END), 6) AS excluded, round(avg(CASE outcome WHEN 'killed_by_oracle' THEN 1.0 WHEN 'survived' THEN 0.0 WHEN 'killed_incidentally' THEN 0.0 END), 6) AS zeroed FROM ITEMS GROUP BY construct""")
+def incidental_policy(spark, sf):
+    return six(T.items(spark, sf).groupBy("construct").agg(F.avg(C.variant_score(F.col("outcome"), "exclude")).alias("excluded"), F.avg(C.variant_score(F.col("outcome"))).alias("zeroed")))
