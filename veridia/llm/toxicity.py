@@ -110,11 +110,14 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], dims: int = 4, steps: int = 120, decay: float = 1e-8, seed: int = 7) -> ToxicityModel:
+def train(texts: list[str], labels: list[int], dims: int = 4, steps: int = 100, smooth: float = 0.3, rate_e: float = 1.5, seed: int = 7) -> ToxicityModel:
     """Joint training of embeddings and softmax, on whole documents.
 
-    Only words seen in two documents or more teach; the last fifth of the
-    sample (in random order) calibrates the two bag features into one score.
+    Embeddings start from each n-gram's smoothed log odds, then they and the
+    softmax are trained together. Only words seen in two documents or more
+    teach. A fifth of the sample (in random order) is held back: the steps with
+    the least loss there are kept, and it calibrates the two bag features into
+    one score.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels)
@@ -123,53 +126,87 @@ def train(texts: list[str], labels: list[int], dims: int = 4, steps: int = 120,
     order = rng.permutation(len(y))
     cut = max(1, len(y) // 5)
     fit, held = order[cut:], order[:cut]
-    raw, offsets = padded(pa.array([texts[i] for i in fit], pa.string()))
-    rows, hashes, counts, grams = [], [], [], {}
+    order = np.concatenate((fit, held))
+    raw, offsets = padded(pa.array([texts[i] for i in order], pa.string()))
+    pairs = []
     for first, buf, offs in slabs(raw, offsets):
         buf, starts, ends, row = slab_words(first, buf, offs)
-        if not len(starts):
-            continue
-        name = span_hash(buf, starts, ends)
-        pair, n = np.unique(np.stack((row.astype(np.uint64), name)), axis=1, return_counts=True)
-        rows.append(pair[0].astype(np.int64))
-        hashes.append(pair[1])
-        counts.append(n)
-        _, one = np.unique(name, return_index=True)
-        word, bucket = gram_events(buf, starts[one], ends[one])
-        grams.setdefault("name", []).append(name[one][word])
-        grams.setdefault("bucket", []).append(bucket)
-    row, name, count = np.concatenate(rows), np.concatenate(hashes), np.concatenate(counts)
-    length = np.bincount(row, count, len(fit))
-    types, kind, seen = np.unique(name, return_inverse=True, return_counts=True)
-    place = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)
-    n_types = int((seen > 1).sum())
-    use = place[kind] >= 0
-    row, kind, count = row[use], place[kind][use], count[use]
-    event = np.unique(np.stack((np.concatenate(grams["name"]), np.concatenate(grams["bucket"]).astype(np.uint64))), axis=1)
-    at = place[np.searchsorted(types, event[0])]
-    word, bucket = at[at >= 0], event[1][at >= 0].astype(np.int64)
+        if len(starts):
+            name = span_hash(buf, starts, ends)
+            by = np.lexsort((name, row))
+            name, row = name[by], row[by]
+            new = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (row[1:] != row[:-1]))))
+            pairs.append((row[new].astype(np.int32), name[new], np.diff(np.concatenate((new, [len(row)]))).astype(np.int32)))
+    row, name, count = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    length = np.bincount(row, count, len(order))
+    types, seen = np.unique(name, return_counts=True)
+    types = types[seen > 1]
+    n_types = len(types)
+    if not n_types:
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), (0.0, 0.0), float(np.log(y.mean() / (1 - y.mean()))))
+    kind = np.minimum(np.searchsorted(types, name), n_types - 1)
+    use = types[kind] == name
+    row, kind, count = row[use], kind[use].astype(np.int32), count[use]
+    done, events = np.zeros(n_types, bool), []
+    for first, buf, offs in slabs(raw, offsets):
+        buf, starts, ends, _ = slab_words(first, buf, offs)
+        name, one = np.unique(span_hash(buf, starts, ends), return_index=True)
+        at = np.minimum(np.searchsorted(types, name), n_types - 1)
+        new = (types[at] == name) & ~done[at]
+        done[at[new]] = True
+        if new.any():
+            of, bucket = gram_events(buf, starts[one[new]], ends[one[new]])
+            events.append((at[new].astype(np.int32)[of], bucket))
+    word, bucket = (np.concatenate(x) for x in zip(*events))
+    del raw, pairs, events, types
     per = np.bincount(word, minlength=n_types)
     share = (1 / per[word]).astype(np.float32)
     weight = (count / np.maximum(length, LEAST_WORDS)[row]).astype(np.float32)
-    target = np.stack((1 - y[fit], y[fit]), 1).astype(np.float64)
-    emb = (rng.standard_normal((dims, BUCKETS)) * 0.05).astype(np.float32)
-    out = rng.standard_normal((dims, 2)).astype(np.float32)
-    bias = np.log(target.mean(0) + 1e-9)
+    truth, n = np.stack((1 - y[order], y[order]), 1).astype(np.float64), len(fit)
+
+    def bags(e: np.ndarray) -> np.ndarray:
+        """Mean value of every document under one value per bucket."""
+        return np.bincount(row, weight * np.bincount(word, share * e[bucket], n_types)[kind], len(order))
+
+    def spread(v: np.ndarray) -> np.ndarray:
+        """The gradient of each bucket from one of each document used for fitting."""
+        return np.bincount(bucket, share * np.bincount(kind, weight * np.append(v, np.zeros(cut))[row], n_types)[word], BUCKETS)
+
+    # start: smoothed log odds of every n-gram's rate in the two classes
+    seen = np.minimum(count, 3) * (row < n)
+    rates = []
+    for label in (1, 0):
+        c = np.bincount(kind, seen * (y[order][row] == label), n_types)
+        rates.append(np.bincount(bucket, c[word], BUCKETS))
+    odds = np.log((rates[0] + smooth * rates[0].sum() / rates[1].sum()) / (rates[1] + smooth)) - np.log(rates[0].sum() / rates[1].sum())
+    x = bags(odds)[:n, None]
+    (slope,), _ = calibrate(x, truth[:n, 1])
+    scale = max(slope, 1e-6) * odds.std()
+    emb = rng.standard_normal((dims, BUCKETS)) * 0.01
+    emb[0] = odds / (odds.std() + 1e-12)
+    out = rng.standard_normal((dims, 2)) * 0.1 * scale
+    out[0] = -scale / 2, scale / 2
+    bias = np.log(truth[:n].mean(0) + 1e-9)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
+    best = (np.inf, emb.copy(), out.copy())
     for step in range(1, steps + 1):
-        words = [np.bincount(word, share * e[bucket], n_types) for e in emb]
-        h = np.stack([np.bincount(row, weight * v[kind], len(fit)) for v in words], 1)
+        h = np.stack([bags(e) for e in emb], 1)
+        h -= h[:n].mean(0)
         z = h @ out + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        err = (p - target) / len(fit)
+        loss = -np.log((p[n:] * truth[n:]).sum(1) + 1e-12).mean()
+        if loss < best[0]:
+            best = (loss, emb.copy(), out.copy())
+        err = (p[:n] - truth[:n]) / n
         back = err @ out.T
-        g_emb = np.stack([np.bincount(bucket, share * np.bincount(kind, weight * back[:, d][row], n_types)[word], BUCKETS) for d in range(dims)])
-        grads = (g_emb + decay * emb, h.T @ err, err.sum(0))
-        for param, grad, (m, v), rate in zip((emb, out, bias), grads, state, (0.5, 0.1, 0.05)):
+        back -= back.mean(0)
+        grads = (np.stack([spread(b) for b in back.T]), h[:n].T @ err, err.sum(0))
+        for param, grad, (m, v), rate in zip((emb, out, bias), grads, state, (rate_e, 0.01 * scale, 0.05)):
             m += 0.1 * (grad - m)
             v += 0.02 * (grad * grad - v)
-            param -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-9)).astype(param.dtype)
+            param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-12)
+    _, emb, out = best
     table = ((out[:, 1] - out[:, 0]) @ emb).astype(np.float32)
     model = ToxicityModel(table, (1.0, 0.0), 0.0)
     x = model.features(pa.array([texts[i] for i in held], pa.string()))
