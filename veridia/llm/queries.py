@@ -78,12 +78,12 @@ ORACLE_SQL = {
         FROM f""",
     "op2_embedding_dedup": """
         WITH RECURSIVE v AS (
-            SELECT DISTINCT vec_id, embedding, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e
+            SELECT DISTINCT vec_id, embedding, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
             FROM embeddings),
         ok AS (
             SELECT vec_id, e FROM v
-            WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-              AND len(list_filter(e, x -> x <> 0)) > 0),
+            WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(e, lambda x: x <> 0)) > 0),
         links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
             WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
