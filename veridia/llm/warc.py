@@ -30,6 +30,8 @@ RECORDS_PER_FILE = 4096
 RANGE = 4 << 20
 #: a record header may be this long; ranges overlap by as much
 HEADER = 64 << 10
+#: repeated payloads, or archive ranges, up to this number are broadcast; beyond it they are joined by a shuffle
+BROADCAST_ROWS = 200_000
 STAMP = "2024-01-01T00:00:00Z"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 
@@ -44,7 +46,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", body.alias("html"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
     first = rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(first.where("n > 1").drop("n"), "digest", "left")
+    first = store(first.where("n > 1").drop("n"), "warc-first")
+    rows = rows.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "digest", "left")
     return rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
@@ -162,7 +165,8 @@ def read_archives(spark: SparkSession, path: str, span: int = RANGE) -> DataFram
     cut = F.substring("content", (F.col("entry") + 1).cast("int"), F.col("take").cast("int"))
     last = found.groupBy("file", "start").agg(F.max("next").alias("last"))
     todo = entry.join(last, ["file", "start"]).withColumn("take", F.greatest(F.col("last"), F.col("start") + span) - F.col("entry"))
-    todo = files.join(todo, "file").select("file", "start", "entry", cut.alias("part"))
+    todo = store(todo, "warc-todo")
+    todo = files.join(F.broadcast(todo) if todo.count() <= BROADCAST_ROWS else todo, "file").select("file", "start", "entry", cut.alias("part"))
 
     def run(batches):
         import hashlib
