@@ -16,6 +16,7 @@ from ..functions import classify as C
 from ..functions import semantics as S
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import obligations as O
 from ..operators import ranking as R
 from . import standins as T
 
@@ -25,12 +26,12 @@ FLAGSHIP = "treatment_control_comparison"
 
 
 def query(sql: str | None = None):
-    """Register a function under its name, with its SQL; ROWS, ITEMS and MUTANTS there name the derived tables."""
+    """Register a function under its name, with its SQL; ROWS, ITEMS, MUTANTS and JAVA there name the derived tables."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            used = [f"{n} AS ({getattr(T, n)})" for n in ("ROWS", "ITEMS", "MUTANTS") if n in sql]
+            used = [f"{n} AS ({getattr(T, n)})" for n in ("ROWS", "ITEMS", "MUTANTS", "JAVA") if n in sql]
             head = sql.lstrip()
             if head.upper().startswith("WITH "):
                 head = head[5:].lstrip()
@@ -432,3 +433,38 @@ def item_reach(spark, sf):
 @query("""SELECT construct, round(avg(CASE outcome WHEN 'killed_by_oracle' THEN 1.0 WHEN 'survived' THEN 0.0 END), 6) AS excluded, round(avg(CASE outcome WHEN 'killed_by_oracle' THEN 1.0 WHEN 'survived' THEN 0.0 WHEN 'killed_incidentally' THEN 0.0 END), 6) AS zeroed FROM ITEMS GROUP BY construct""")
 def incidental_policy(spark, sf):
     return six(T.items(spark, sf).groupBy("construct").agg(F.avg(C.variant_score(F.col("outcome"), "exclude")).alias("excluded"), F.avg(C.variant_score(F.col("outcome"))).alias("zeroed")))
+
+
+@query("""WITH L AS (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS ls FROM documents), N AS (SELECT doc_id, generate_subscripts(ls, 1) AS line, trim(unnest(ls)) AS t FROM L)
+    SELECT doc_id, CAST(line AS INT) AS line, left(t, 240) AS snippet FROM N WHERE t <> '' AND NOT regexp_matches(t, '^(?:import |package |//|/\\*|\\*)') AND regexp_matches(t, '[0-9]{6,}|Licensed')""")
+def pattern_lines(spark, sf):
+    return O.pattern_lines(T.table(spark, sf, "documents"), "doc_id", "text", "[0-9]{6,}|Licensed")
+
+
+@query("""SELECT row_id, line, signal, construct, CAST(NULL AS STRING) AS case_value, CAST(NULL AS INT) AS switch_line, snippet FROM (
+    SELECT row_id, 3 AS line, 'if_condition' AS signal, 'if' AS construct, concat('if (n < ', CAST(bound AS STRING), ') {') AS snippet FROM JAVA UNION ALL SELECT row_id, 6, 'try_normal', 'try', 'try {' FROM JAVA
+    UNION ALL SELECT row_id, 8, 'catch_exception', 'catch', '} catch (E e) {' FROM JAVA UNION ALL SELECT row_id, 11, 'exception_path', 'exception_path', 'throw new E();' FROM JAVA)""")
+def control_flow_obligations(spark, sf):
+    return O.control_flow_obligations(T.java(spark, sf), "row_id", "source")
+
+
+@query("""WITH N AS (SELECT row_id, 'number:' || CAST(CAST(bound AS DOUBLE) AS STRING) AS b, bound, arg, brand, row_id % 4 AS k FROM JAVA)
+    SELECT row_id, 0 AS parameter, 'zero' AS category, CAST(NULL AS STRING) AS bound, arg = 0 AS covered FROM N UNION ALL SELECT row_id, 0, 'negative', NULL, arg < 0 FROM N
+    UNION ALL SELECT row_id, 0, 'below_inferred_bound', b, arg < bound FROM N UNION ALL SELECT row_id, 0, 'at_inferred_bound', b, arg = bound FROM N UNION ALL SELECT row_id, 0, 'above_inferred_bound', b, arg > bound FROM N
+    UNION ALL SELECT row_id, 1, 'null', NULL, k = 0 FROM N UNION ALL SELECT row_id, 1, 'empty', NULL, k = 1 FROM N
+    UNION ALL SELECT row_id, 1, 'same_inferred_bound', 'string:' || brand, k = 2 FROM N UNION ALL SELECT row_id, 1, 'different_inferred_bound', 'not:' || brand, k IN (1, 3) FROM N""")
+def boundary_evidence(spark, sf):
+    return O.boundary_evidence(T.java(spark, sf), "row_id")
+
+
+@query("""WITH N AS (SELECT row_id, source, concat('(n < ', CAST(bound AS STRING), ')') AS c FROM JAVA)
+    SELECT row_id, 3 AS line, 'if' AS construct, 'condition_true' AS variant, replace(source, c, '(true)') AS mutated FROM N UNION ALL SELECT row_id, 3, 'if', 'condition_false', replace(source, c, '(false)') FROM N
+    UNION ALL SELECT row_id, 8, 'catch', 'catch_body_noop', replace(source, concat('{', chr(10), '   h();', chr(10), '  }'), '{}') FROM N
+    UNION ALL SELECT row_id, 11, 'exception_path', 'throw_removed', replace(source, 'throw new E();', ';') FROM N UNION ALL SELECT row_id, 4, 'return_behavior', 'return_value_changed', replace(source, 'return 0;', 'return 1;') FROM N""")
+def mutant_sources(spark, sf):
+    return O.mutants(T.java(spark, sf), "row_id")
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '\\bth[a-z]+')) AS hits FROM documents""")
+def pattern_counts(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\bth[a-z]+")).cast("long").alias("hits"))

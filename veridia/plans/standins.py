@@ -48,6 +48,15 @@ SELECT l_orderkey AS row_id, l_linenumber AS mutant, l_partkey % 60 AS line,
 FROM lineitem
 """
 
+#: Java methods and tests made from parts; '~' stands for a line end
+JAVA = """
+SELECT p_partkey AS row_id, p_size AS bound, p_partkey % 60 - 5 AS arg, p_brand AS brand,
+       replace(concat('class S {~ int f(int n, String s) {~  if (n < ', CAST(p_size AS STRING), ') {~   return 0;~  }~  try {~   g(s.equals("', p_brand, '"));~  } catch (E e) {~   h();~  }~  throw new E();~ }~}'), '~', chr(10)) AS source,
+       'int f(int n, String s)' AS signature,
+       concat('f(', CAST(p_partkey % 60 - 5 AS STRING), ', ', CASE p_partkey % 4 WHEN 0 THEN 'null' WHEN 1 THEN '""' WHEN 2 THEN concat('"', p_brand, '"') ELSE '"other"' END, ');') AS test_code
+FROM part
+"""
+
 
 def views(spark: SparkSession, sf_dir: str, *tables: str) -> None:
     for t in tables:
@@ -71,3 +80,8 @@ def mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views(spark, sf_dir, "part")
+    return spark.sql(JAVA)
