@@ -468,3 +468,67 @@ def mutant_sources(spark, sf):
 @query("""SELECT doc_id, len(regexp_extract_all(text, '\\bth[a-z]+')) AS hits FROM documents""")
 def pattern_counts(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\bth[a-z]+")).cast("long").alias("hits"))
+
+
+@query("""SELECT complexity_bucket, CASE WHEN row_score IS NULL THEN 'not_applicable' WHEN row_score <= 0 THEN 'none' WHEN row_score < 1 THEN 'partial' ELSE 'full' END AS label, count(*) AS n FROM ROWS GROUP BY ALL""")
+def strength_labels(spark, sf):
+    return T.rows(spark, sf).groupBy("complexity_bucket", C.strength_label(F.col("row_score")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH K AS (SELECT row_id, CASE row_id % 9 WHEN 0 THEN 'java.util.List<String>' WHEN 1 THEN 'int[]' WHEN 2 THEN 'boolean' WHEN 3 THEN 'Character' WHEN 4 THEN 'java.math.BigDecimal' WHEN 5 THEN 'String' WHEN 6 THEN 'Class<?>' WHEN 7 THEN 'Node' ELSE '' END AS k FROM ROWS)
+    SELECT row_id, CASE row_id % 9 WHEN 0 THEN 'collection' WHEN 1 THEN 'array' WHEN 2 THEN 'boolean' WHEN 3 THEN 'char' WHEN 4 THEN 'numeric' WHEN 5 THEN 'string' WHEN 6 THEN 'class' WHEN 7 THEN 'domain_object' ELSE 'unknown' END AS category FROM K""")
+def return_type_categories(spark, sf):
+    kinds = F.array(*map(F.lit, ["java.util.List<String>", "int[]", "boolean", "Character", "java.math.BigDecimal", "String", "Class<?>", "Node", ""]))
+    return T.rows(spark, sf).select("row_id", C.return_type_category(F.get(kinds, (F.col("row_id") % 9).cast("int"))).alias("category"))
+
+
+@query("""SELECT construct, CAST(coalesce(nullif(list_position(['if', 'else_if', 'case', 'default', 'catch', 'exception_path', 'ternary', 'other'], construct), 0), 1073741824) AS BIGINT) AS place, count(*) AS n FROM MUTANTS GROUP BY ALL""")
+def display_order(spark, sf):
+    return T.mutants(spark, sf).groupBy("construct").agg(F.count(F.lit(1)).alias("n")).select("construct", S.fixed_order(F.col("construct"), C.CONTROL_FLOW_DISPLAY).cast("long").alias("place"), "n")
+
+
+@query("SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, left(html, 4000) AS preview FROM pages")
+def file_previews(spark, sf):
+    from ..sources.readers import preview
+
+    return T.table(spark, sf, "pages").select("page_id", preview(F.col("html")).alias("p")).select("page_id", "p.*")
+
+
+@query("""WITH L AS (SELECT row_id, list_sort(list_distinct(list(line) FILTER (covered))) AS a, list_sort(list_distinct(list(line) FILTER (construct = 'return_behavior'))) AS b FROM ITEMS GROUP BY row_id),
+    M AS (SELECT row_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM L)
+    SELECT row_id, array_to_string(list_sort(list_concat(list_filter(a, lambda x: NOT list_contains(b, x)), list_filter(b, lambda x: NOT list_contains(a, x)))), ',') AS changed, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS subset, list_has_any(a, b) AS overlap FROM M""")
+def coverage_changes(spark, sf):
+    g = T.items(spark, sf).groupBy("row_id").agg(F.collect_set(F.when(F.col("covered"), F.col("line"))).alias("a"), F.collect_set(F.when(F.col("construct") == "return_behavior", F.col("line"))).alias("b"))
+    return g.select("row_id", F.array_join(J.changed_lines("a", "b"), ",").alias("changed"), (F.size(F.array_except("a", "b")) == 0).alias("subset"), F.arrays_overlap("a", "b").alias("overlap"))
+
+
+@query("SELECT DISTINCT model_id, prompt_template, complexity_bucket FROM ROWS WHERE coalesce(execution_passed, false)")
+def completed_keys(spark, sf):
+    return T.rows(spark, sf).where(S.truthy("execution_passed")).select("model_id", "prompt_template", "complexity_bucket").distinct()
+
+
+@query("""SELECT * FROM (SELECT category, construct, row_id, item_id, row_number() OVER (PARTITION BY category, construct ORDER BY row_id, item_id, line, parameter) AS k FROM ITEMS WHERE outcome = 'survived') WHERE k <= 3""")
+def first_examples(spark, sf):
+    rows = T.items(spark, sf).where("outcome = 'survived'").select("category", "construct", "row_id", "item_id", "line", "parameter")
+    best = S.top_n(rows, ["category", "construct"], ["row_id", "item_id", "line", "parameter"], 3)
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("category", "construct").orderBy("row_id", "item_id", "line", "parameter"))
+    return best.select("category", "construct", "row_id", "item_id", k.cast("long").alias("k"))
+
+
+@query("""SELECT prompt_template AS prompt, count(*) FILTER (total_items > 0) AS rows_with_items, CAST(sum(total_items) AS BIGINT) AS obligations, CAST(coalesce(sum(checked_items) FILTER (total_items > 0), 0) AS BIGINT) AS checked FROM ROWS GROUP BY ALL""")
+def exception_detail_by_prompt(spark, sf):
+    some = F.col("total_items") > 0
+    return T.rows(spark, sf).groupBy(F.col("prompt_template").alias("prompt")).agg(S.count_where(some).alias("rows_with_items"), S.total("total_items").cast("long").alias("obligations"), S.total(F.when(some, F.col("checked_items"))).cast("long").alias("checked"))
+
+
+@query("""SELECT row_id, construct, category, list_sort(list_distinct(list(outcome) FILTER (outcome IS NOT NULL)))[1] AS best, count(*) AS n FROM ITEMS GROUP BY row_id, construct, category""")
+def item_groups(spark, sf):
+    return T.items(spark, sf).groupBy("row_id", "construct", "category").agg(F.min("outcome").alias("best"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT doc_id, trim(regexp_extract(text, '([0-9A-Za-z.]+)@', 1)) AS account, CASE WHEN regexp_matches(text, '[0-9]{12,}') THEN CAST(regexp_extract(text, '([0-9]{12,})', 1)[1:9] AS BIGINT) END AS head FROM documents""")
+def log_captures(spark, sf):
+    n = F.regexp_extract("text", "([0-9]{12,})", 1)
+    return T.table(spark, sf, "documents").select("doc_id", F.trim(F.regexp_extract("text", "([0-9A-Za-z.]+)@", 1)).alias("account"), F.when(n != "", F.left(n, F.lit(9)).cast("long")).alias("head"))
