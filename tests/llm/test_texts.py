@@ -180,6 +180,11 @@ def test_html_main_text(spark):
     assert by[2]["text"] == by[3]["text"] == "" and by[4]["text"] == "plain text" and by[5]["text"] == "open unclosed"
 
 
+def test_html_article_inside_a_wrapper_with_a_telling_name():
+    page = '<body><div class="has-sidebar"><main><article><p>story</p><article class="comment">no</article></article></main><div id="sidebar">x</div></div>'
+    assert html_extract.main_text(page) == "story"
+
+
 def test_site_style_tree_removes_repeated_branches(spark):
     rows = [(i, "http://site.org/%d" % i, f'<body><div class="box7">Read our house rules</div><div class="body3">story {i} is told</div></body>') for i in range(30)]
     rows += [(100 + i, "http://small.org/%d" % i, '<body><div class="box7">kept here</div></body>') for i in range(3)]

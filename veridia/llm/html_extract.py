@@ -103,7 +103,7 @@ def parse(page: str) -> Node:
         style = f"{tag}.{'.'.join(sorted(names.split()))}" if names else tag
         gone = (
             tag in DROP
-            or bool(names and tag not in ("html", "body", "article", "main") and MARKS.search(names))
+            or bool(names and tag not in ("html", "body", "main") and (tag != "article" or any(n.tag == "article" for n in stack)) and MARKS.search(names))
             or bool(a and (a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"))
             or bool(a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
             or tag == "header" and not any(n.tag in ("article", "main") for n in stack)
@@ -169,18 +169,19 @@ def walk(node: Node):
 
 def article_roots(root: Node, low: frozenset | set = frozenset()) -> list[Node]:
     """The page's article elements (or main, or the body), outermost, in page order."""
-    for wanted in ("article", "main"):
-        found, stack = [], [root]
-        while stack:
-            n = stack.pop()
-            if n.gone or n.path in low:
-                continue
-            if n.tag == wanted:
-                found.append(n)
-            else:
-                stack.extend(i for i in reversed(n.items) if not isinstance(i, str))
-        if found:
-            return found
+    for inside_removed in (False, True):  # a wrapper with a telling name may hold the whole article
+        for wanted in ("article", "main"):
+            found, stack = [], [root]
+            while stack:
+                n = stack.pop()
+                if n.tag in DROP or (n.gone or n.path in low) and (not inside_removed or n.tag == wanted):
+                    continue
+                if n.tag == wanted:
+                    found.append(n)
+                else:
+                    stack.extend(i for i in reversed(n.items) if not isinstance(i, str))
+            if found:
+                return found
     return [root]
 
 
