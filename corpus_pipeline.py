@@ -14,15 +14,23 @@ from veridia.llm.common import store
 from veridia.llm.queries import TOKENIZERS, table
 
 
+def set_aside(docs: DataFrame, *names: str):
+    """``docs`` with its columns of these names renamed, and the selection that restores its columns."""
+    new = {c: f"_own_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(new), [F.col(new.get(c, c)).alias(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not call toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    rows, columns = set_aside(docs, "score", "predicted")
+    return toxicity.score(rows, model).where("predicted = 0").select(*columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    rows, columns = set_aside(docs, "perplexity", "threshold", "kept")
+    return quality.classify(rows, table(spark, sf_dir, "labels")).where("kept").select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -228,7 +228,7 @@ def brute_kneser_ney(texts):
     for c in reversed(levels):
         n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        d = [max(0.0, min(k - 0.01, k - (k + 1) * y * b / a)) if a and b else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        d = [max(0.05, min(k - 0.01, k - (k + 1) * y * b / a)) if a and b else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         sums, cut = Counter(), Counter()
         for g, v in c.items():
             sums[g[:-1]] += v

@@ -102,7 +102,7 @@ def kneser_ney(counts: DataFrame) -> np.ndarray:
         row = level.agg(*[F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
         n1, n2, n3, n4 = (float(row[k] or 0) for k in range(4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        cut = [max(0.0, min(k - 0.01, k - (k + 1) * y * b / a)) if a and b else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        cut = [max(0.05, min(k - 0.01, k - (k + 1) * y * b / a)) if a and b else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         d = F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
         context, suffix = F.expr(f"gram div {SYMBOLS}"), F.col("gram") % SYMBOLS ** (n - 1)
         left = level.select("gram", "c", d.alias("d"), context.alias("context"), suffix.alias("suffix"))
