@@ -22,22 +22,25 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     empty table gives an empty table.
     """
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    live = store(pairs.distinct(), tag)
-    nodes = live.select(F.col("a").alias("node")).union(live.select("b")).distinct()
-    out = store(nodes.select("node", F.col("node").alias("component")), tag)
+    live, steps = store(pairs.distinct(), tag), []
+    first = live
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-        low = store(low, tag)
         up = low.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = store(low.join(up, "label").select("node", F.col("up").alias("label")), tag)
-        a = jumped.select(F.col("node").alias("a"), F.col("label").alias("la"))
-        b = jumped.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        step = store(low.join(up, "label").select("node", F.col("up").alias("label")), tag)
+        a = step.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        b = step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         left = live.join(a, "a").join(b, "b").where("la <> lb")
         left = store(left.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), tag)
-        step = jumped.select(F.col("node").alias("component"), "label")
-        moved = store(out.join(step, "component", "left").select("node", F.coalesce("label", "component").alias("component")), tag)
-        drop_stored(live, out, low, jumped)
-        live, out = left, moved
-    drop_stored(live)
+        if live is not first:
+            drop_stored(live)
+        live = left
+        steps.append(step)
+    out = first.select(F.col("a").alias("node")).union(first.select("b")).distinct().select("node", F.col("node").alias("component"))
+    for i, step in enumerate(steps):
+        step = step.withColumnRenamed("node", "component")
+        out = out.join(step, "component", "left" if i else "inner").select("node", F.coalesce("label", "component").alias("component"))
+    out = store(out, tag)
+    drop_stored(first, *steps)
     return out

@@ -1,17 +1,17 @@
 """MinHash near-dedup with odd sketches.
 
-Every document's set of word shingles gives ``BANDS * ROWS`` MinHash samples.
-Bands of them find candidates; the samples are also folded into a parity bitmap
+Every document's set of word shingles gives ``SAMPLES`` MinHash samples. Bands
+of them find candidates; the samples are also folded into a parity bitmap
 (odd sketch), whose XOR population count estimates high similarities precisely,
 so that only promising candidates are confirmed, on the full sets.
 
 Documents with equal sets are one from the start. In every band bucket each
 document is compared with one seeded pivot, which differs from band to band, so
-a group of m near copies costs m comparisons a band, not m * m. Buckets that
-still hold several components are then finished: small ones by all pairs
-between different components, large ones first split by a second and third
-band. Only links between different components are confirmed, best estimate
-first, and confirmed links are contracted before the next turn.
+a group of m near copies costs m comparisons a band, not m * m. In buckets that
+still hold several components, the sketches of members outside the largest
+component are then compared with all members, in tiles of bounded size; a pair
+leaves its task only in the first band that it shares and only if its estimate
+makes a link between two components possible. Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -21,21 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, mix, schema_with, store, word_hashes
+from .common import drop_stored, mix, schema_with, small_batches, store, word_hashes
 from .components import connected_components
 
 WORDS = 5
-ROWS = 8
-BANDS = 32
-SKETCH_BITS = 1024
-#: links whose estimate is this far below the threshold (seven standard deviations) are not confirmed
-SLACK = 0.15
-#: buckets up to this size are finished by pairs
-SMALL = 32
+ROWS = 6
+BANDS = 22
+#: samples in all; those beyond the bands serve the sketch alone
+SAMPLES = 448
+SKETCH_BITS = 2048
+#: links whose estimate is this far below the threshold (more than four standard deviations) are not confirmed
+SLACK = 0.075
+#: members of a bucket compared in one task
+TILE_LEFT, TILE_RIGHT = 1024, 4096
 
 _rng = np.random.default_rng(20240229)
-FACTORS = _rng.integers(1, 1 << 32, ROWS * BANDS, np.uint64).astype(np.uint32) | np.uint32(1)
-TERMS = _rng.integers(0, 1 << 32, ROWS * BANDS, np.uint64).astype(np.uint32)
+FACTORS = _rng.integers(1, 1 << 32, SAMPLES, np.uint64).astype(np.uint32) | np.uint32(1)
+TERMS = _rng.integers(0, 1 << 32, SAMPLES, np.uint64).astype(np.uint32)
 PLACES = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -74,7 +76,7 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band."""
-    rows = samples.reshape(BANDS, ROWS).astype(np.uint64)
+    rows = samples[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     places = mix(np.arange(100, 100 + ROWS, dtype=np.uint64)) | np.uint64(1)
     return mix((mix(rows) * places).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -89,7 +91,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 def estimate(differing) -> F.Column:
     """Similarity estimated from the number of differing sketch bits."""
     rest = F.greatest(1 - 2 * differing / SKETCH_BITS, F.lit(1e-6))
-    return 1 + SKETCH_BITS / (4.0 * ROWS * BANDS) * F.log(rest)
+    return 1 + SKETCH_BITS / (4.0 * SAMPLES) * F.log(rest)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,11 +154,6 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 #: candidate ids up to this number are broadcast (8 MB) to pick their texts; beyond it they are joined by a shuffle
 BROADCAST_IDS = 1_000_000
-#: cross-component pairs per member up to which a bucket is finished by pairs
-PAIRS_PER_MEMBER = 64
-LEVELS = 3
-
-
 def pivoted(buckets: DataFrame) -> DataFrame:
     """key, id, pivot of the buckets (key, id) with several members.
 
@@ -182,7 +179,6 @@ class Linker:
 
     def __init__(self, texts: DataFrame, sketches: DataFrame, threshold: int):
         self.texts, self.sketches, self.threshold = texts, sketches, threshold
-        self.links: DataFrame | None = None
         self.components: DataFrame | None = None
 
     def labelled(self, rows: DataFrame, *names: str) -> DataFrame:
@@ -195,34 +191,82 @@ class Linker:
                 rows = rows.withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
         return rows
 
-    def test(self, pairs: DataFrame) -> None:
-        """Confirm candidate pairs until no untested one joins two components."""
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = store(estimated(self.labelled(pairs, "a", "b").where("c_a <> c_b"), self.sketches, self.threshold), "mh-pairs")
-        if pairs.isEmpty():
+    def join_components(self, links: DataFrame) -> None:
+        """Merge the components that newly confirmed links (a, b) join."""
+        new = connected_components(self.labelled(links, "a", "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+        if self.components is None:
+            self.components = new
+            return
+        old = self.components
+        step = new.select(F.col("node").alias("component"), F.col("component").alias("label"))
+        moved = old.join(step, "component", "left").select("node", F.coalesce("label", "component").alias("component"))
+        fresh = new.join(old.select("node"), "node", "left_anti")
+        self.components = store(moved.union(fresh), "mh-components")
+        drop_stored(old, new)
+
+    def test(self, pairs: DataFrame, turns) -> None:
+        """Confirm candidates (a, b, est) in turns: of each turn, so many per document, then per pair of components; None: all."""
+        pairs = store(pairs, "mh-pairs")
+        n = pairs.count()
+        if not n:
             drop_stored(pairs)
             return
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        ids = F.broadcast(ids) if 2 * n <= BROADCAST_IDS else ids
         sets = store(full_sets(self.texts.join(ids, "id", "left_semi")), "mh-sets")
-        todo, first = pairs, True
-        for most in (1, 4, 64, None):
-            todo = self.labelled(todo.select("a", "b", "est"), "a", "b").where("c_a <> c_b")
-            if first:  # every document with its most promising candidate
-                rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("est"), "b"))
-            else:
-                rank = F.row_number().over(Window.partitionBy(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")).orderBy(F.desc("est"), "a", "b"))
-            todo = store((todo.withColumn("rank", rank) if most else todo.withColumn("rank", F.lit(1))).select("a", "b", "est", "rank"), "mh-todo")
-            if todo.isEmpty():
-                break
-            now = store(confirm(todo.where(F.col("rank") <= (most or 1)).select("a", "b"), sets, self.threshold), "mh-links")
-            self.links = now if self.links is None else self.links.union(now)
-            old, self.components = self.components, connected_components(self.links)
-            if old is not None:
-                drop_stored(old)
-            todo, first = todo.where(F.col("rank") > (most or 1)), False
+        todo = pairs
+        for turn, most in enumerate(turns):
+            if most:
+                by = Window.partitionBy(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")) if turn else Window.partitionBy("a")
+                todo = self.labelled(todo.select("a", "b", "est"), "a", "b").where("c_a <> c_b")
+                todo = todo.withColumn("rank", F.row_number().over(by.orderBy(F.desc("est"), "a", "b"))).where(F.col("rank") <= most)
+            links = store(confirm(todo.select("a", "b"), sets, self.threshold), "mh-links")
+            if not links.isEmpty():
+                self.join_components(links)
+            drop_stored(links)
+            todo = pairs
         drop_stored(sets, pairs)
 
+    def across(self, buckets: DataFrame, own: DataFrame) -> DataFrame:
+        """Candidates (a, b, est) between different components of the same bucket (key, id), each once."""
+        held = self.labelled(buckets.select("key", "id"), "id")
+        part = held.groupBy("key", "c_id").agg(F.count(F.lit(1)).alias("n"))
+        part = part.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c_id")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        tiles = part.select("key", F.col("top.c_id").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / TILE_LEFT).cast("int").alias("lefts"), F.ceil(F.col("n") / TILE_RIGHT).cast("int").alias("rights"))
+        held = held.join(tiles, "key").withColumn("small", F.col("c_id") != F.col("main"))
+        own_i, own_j = F.pmod(F.xxhash64("id"), "lefts").cast("int"), F.pmod(F.xxhash64("id"), "rights").cast("int")
+        as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("i"), own_j.alias("j"), F.lit(False).alias("left")))
+        as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.struct(own_i.alias("i"), j.alias("j"), F.lit(True).alias("left")))
+        both = F.when(F.col("small"), F.concat(as_left, as_right)).otherwise(as_right)
+        placed = held.select("key", "id", "c_id", "small", F.explode(both).alias("at")).select("key", "at.*", "id", "c_id", "small").join(own, "id")
+        least = self.threshold / 100 - SLACK
+
+        def compare(table: pa.Table) -> pa.Table:
+            is_left = table["left"].to_numpy()
+            out = ([], [], [])
+            if is_left.any() and not is_left.all():
+                key = table["key"][0].as_py()
+                ids, comp, small = (table[c].to_numpy() for c in ("id", "c_id", "small"))
+                sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
+                bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+                l, r = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+                for at in range(0, len(l), 64):
+                    x = l[at : at + 64]
+                    differing = np.zeros((len(x), len(r)), np.int32)
+                    for k in range(sketch.shape[1]):
+                        differing += np.bitwise_count(sketch[x, k][:, None] ^ sketch[r, k][None])
+                    est = 1 + SKETCH_BITS / (4.0 * SAMPLES) * np.log(np.maximum(1 - 2 * differing / SKETCH_BITS, 1e-6))
+                    ok = (est >= least) & (comp[x][:, None] != comp[r][None]) & (~small[r][None] | (ids[x][:, None] < ids[r][None]))
+                    p, q = np.nonzero(ok)
+                    a, b = x[p], r[q]
+                    first = bands[a, (bands[a] == bands[b]).argmax(1)] == key
+                    for column, v in zip(out, (ids[a], ids[b], est[p, q])):
+                        column.append(v[first])
+            a, b, est = (np.concatenate(c) if c else np.zeros(0) for c in out)
+            return pa.table({"a": pa.array(np.minimum(a, b).astype(np.int64)), "b": pa.array(np.maximum(a, b).astype(np.int64)), "est": pa.array(est.astype(np.float64))})
+
+        return placed.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, est double")
+
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
     """id_col, n_shingles, component_id and kept for every row of ``docs``.
@@ -230,36 +274,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Ids are integers. Documents link where 100 * intersection >= threshold *
     union of their shingle sets; empty sets (null or empty texts) and null ids
     link with nothing. Repeated rows get equal results. A pair at the threshold
-    is found in some band with probability 0.99996, at 0.9 with 0.99999998.
+    is found in some band with probability 0.99997, at 0.9 with 0.9999999.
     """
+    small_batches(docs.sparkSession)
     sig = store(signatures(docs, id_col, text_col), "mh-signatures")
     real = sig.where("set_key is not null and id is not null")
     reps = store(real.groupBy("set_key").agg(F.min("id").alias("rep")), "mh-reps")
     own = real.join(reps.select("set_key", F.col("rep").alias("id")), ["set_key", "id"], "left_semi")
-    own = own.select(F.col("id").cast("long").alias("id"), "bands", "sketch")
+    own = store(own.select(F.col("id").cast("long").alias("id"), "bands", "sketch"), "mh-own")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     linker = Linker(texts, own.select("id", "sketch"), threshold)
     buckets = store(pivoted(own.select(F.explode("bands").alias("key"), "id")), "mh-buckets")
-    for level in range(LEVELS):
-        linker.test(buckets.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        held = linker.labelled(buckets.select("key", "id"), "id")
-        part = held.groupBy("key", "c_id").agg(F.count(F.lit(1)).alias("n"))
-        part = part.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count(F.lit(1)).alias("parts"))
-        part = part.where("parts > 1 and n > 2").select("key", "n", ((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("cross"))
-        mixed = store(held.join(part, "key"), "mh-mixed")
-        drop_stored(buckets)
-        if mixed.isEmpty():
-            break
-        few = F.lit(level == LEVELS - 1) | (F.col("n") <= SMALL) | (F.col("cross") <= PAIRS_PER_MEMBER * F.col("n"))
-        left = mixed.where(few).select("key", F.col("id").alias("a"), F.col("c_id").alias("c_a"))
-        right = left.withColumnsRenamed({"a": "b", "c_a": "c_b"})
-        linker.test(left.join(right, "key").where("c_a < c_b").select("a", "b"))
-        more = mixed.where(~few).select("key", "id").join(own.select("id", "bands"), "id")
-        more = more.select("id", "key", F.explode("bands").alias("band")).where("key <> band")
-        buckets = store(pivoted(more.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "id").distinct()), "mh-buckets")
-        drop_stored(mixed)
-        if buckets.isEmpty():
-            break
+    star = buckets.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    linker.test(estimated(star, linker.sketches, threshold), (1, 4))
+    linker.test(linker.across(buckets, own), (None,))
+    drop_stored(buckets)
     out = sig.select("id", "n_shingles", "set_key").join(reps, "set_key", "left")
     out = linker.labelled(out.withColumn("rep", F.coalesce("rep", "id")), "rep")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.col("c_rep").alias("component_id"), F.coalesce(F.col("c_rep") == F.col("id"), F.lit(True)).alias("kept"))
