@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 MARK = "▁"
 # --- fixed values: piece kinds of the model format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -158,6 +161,10 @@ class Backend:
         self.user = sorted((p for p, _, k in m.pieces if k == USER), key=len, reverse=True)
         if self.user:
             raise ValueError("models with user-defined pieces are not supported")
+        table = {i: p.replace(MARK, " ").encode() for i, (p, _, k) in enumerate(m.pieces) if k in (NORMAL, UNUSED)}
+        table |= {i: bytes([int(p[1:-1], 16)]) for i, (p, _, k) in enumerate(m.pieces) if k == BYTE}
+        table |= {i: b"" for i, (_, _, k) in enumerate(m.pieces) if k == CONTROL}
+        self.bytes_of = table.__getitem__
         if verify:
             self.verify(list(BATTERY))
 
@@ -171,13 +178,14 @@ class Backend:
             text = " " + text
         return text.replace(" ", MARK) if self.model.escape else text
 
-    def plain(self, text: str) -> str:
-        """What decoding the ids of ``text`` gives back, where no piece is unknown."""
-        out = self.surface(text).replace(MARK, " ")
+    def plain(self, surface: str) -> str:
+        """What decoding gives back for a text with this surface, where no piece is unknown."""
+        out = surface.replace(MARK, " ")
         return out[1:] if self.model.dummy_prefix else out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        ready = [self.surface(t) for t in texts]
+    def encode(self, texts: list[str], ready: list[str] | None = None) -> list[list[int]]:
+        """Ids of texts; ``ready`` may hold their surfaces."""
+        ready = [self.surface(t) for t in texts] if ready is None else ready
         normal, self.tok.normalizer = self.tok.normalizer, None
         try:
             out = [e.ids for e in self.tok.encode_batch_fast(ready, add_special_tokens=False)]
@@ -187,7 +195,12 @@ class Backend:
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        out = self.tok.decode_batch(ids, skip_special_tokens=True)
+        out = []
+        for row in ids:
+            try:
+                out.append(b"".join(map(self.bytes_of, row)).decode())
+            except (UnicodeDecodeError, KeyError):  # bytes that are no UTF-8, or ids that are none
+                out.append(self.tok.decode(row, skip_special_tokens=True))
         return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in out]
 
     def verify(self, texts: list[str]) -> None:
@@ -204,14 +217,18 @@ class Backend:
                 raise AssertionError(f"decoding differs on {text[:80]!r}: {a[:80]!r} and {b[:80]!r}")
 
 
-def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, verify_every: int = 64) -> DataFrame:
+#: texts encoded at once; bounds the encodings held in memory
+SLICE = 96
+
+
+def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_ok for every row of ``docs`` (doc_id, text).
 
     Null and empty texts give an empty list. ``decoded_ok`` says that decoding
-    the ids gives the normalised text back. One text in every ``verify_every``
-    of a task is also compared with the original library; a difference fails
-    the job. The model file, of fixed size, is read on the driver and broadcast.
+    the ids gives the normalised text back. The first texts of every task
+    are also compared with the original library; a difference fails the job. The model file, of fixed size, is read on the driver and broadcast.
     """
+    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -220,18 +237,19 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, verify_
 
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        backend, seen = Backend(raw.value), 0
+        backend, checked = Backend(raw.value), False
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
                 texts = [t or "" for t in some.column(1).to_pylist()]
-                ids = backend.encode(texts)
-                back = backend.decode(ids)
-                ok = [d == backend.plain(t) for d, t in zip(back, texts)]
-                backend.verify(texts[-seen % verify_every :: verify_every])
-                seen += len(texts)
+                if not checked:
+                    backend.verify(texts)
+                    checked = True
+                ready = [backend.surface(t) for t in texts]
+                ids = backend.encode(texts, ready)
+                ok = [d == backend.plain(r) for d, r in zip(backend.decode(ids), ready)]
                 sizes = [len(i) for i in ids]
-                flat = np.concatenate([np.asarray(i, np.int32) for i in ids]) if ids else np.zeros(0, np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(sizes))
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), column, pa.array(ok, pa.bool_())], names=["doc_id", "n_tokens", "ids", "decoded_ok"])
 
