@@ -54,6 +54,18 @@ def drop_stored(*tables: DataFrame) -> None:
         drop_path(df.sparkSession, df.stored_at)
 
 
+#: rows of a batch between the JVM and Python; texts are long, so the default of 10,000 holds too much memory
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size for Python operators to BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 # --- vectorised hashing of words -------------------------------------------
 
 SPACE = np.zeros(256, bool)
@@ -61,7 +73,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: bytes hashed at once; bounds the scratch arrays of a task
-SLAB = 1 << 20
+SLAB = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with
+from .common import schema_with, small_batches
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -243,6 +243,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, importance: float
 
     Null or empty html gives an empty text. Repeated rows are separate pages.
     """
+    small_batches(pages.sparkSession)
     low = site_style_tree(pages, least_pages).where((F.col("importance") < importance) & ~F.regexp_extract("path", "[^>]*$", 0).isin(*SAFE))
     low = low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(low, "host", "left")

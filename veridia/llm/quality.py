@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, schema_with, store
+from .common import drop_stored, schema_with, small_batches, store
 
 ORDER = 4
 #: bytes of text that one numpy pass takes
@@ -138,6 +138,8 @@ def perplexities(column: pa.Array, table: np.ndarray) -> list[float | None]:
 
 #: label ids up to this number are broadcast (16 MB); beyond it they are joined by a shuffle
 BROADCAST_IDS = 1_000_000
+#: so are the thresholds of up to this number of languages
+BROADCAST_LANGS = 10_000
 
 
 def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,6 +171,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin:
     all trusted text. Null and empty texts have no perplexity and are not kept,
     unless there is no trusted text at all, in which case everything is.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("perplexity", "threshold", "kept", "_lang")
     trusted = texts if texts is not None else trusted_text(docs, labels)
     counts = store(count_grams(trusted.select("text")), "kn-grams")
@@ -178,7 +181,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin:
     q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)) * margin
     overall = known.agg(q.alias("t")).first()["t"]
     each = known.where("lang is not null").groupBy(F.col("lang").alias("_lang")).agg(q.alias("threshold"))
-    rows = with_perplexity(docs, table).join(each, F.col("lang") == F.col("_lang"), "left").drop("_lang")
+    each = store(each, "kn-thresholds")
+    few = F.broadcast(each) if each.count() <= BROADCAST_LANGS else each
+    rows = with_perplexity(docs, table).join(few, F.col("lang") == F.col("_lang"), "left").drop("_lang")
     rows = rows.withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.col("threshold").isNull())
     return rows.withColumn("kept", kept)

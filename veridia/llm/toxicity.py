@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lower, mix, powers, schema_with, slabs, text_buffers, word_bounds
+from .common import SPACE, lower, mix, powers, schema_with, slabs, small_batches, text_buffers, word_bounds
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 WINDOW = 256
 #: bags with fewer words average over this many
 LEAST_WORDS = 24
+#: rows scored at once
+SLICE = 256
 
 
 def gram_events(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +57,9 @@ def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(offsets)
     at = np.concatenate(([0], np.cumsum(n + 2)))
     out = np.full(at[-1], 32, np.uint8)
-    place = np.repeat(at[:-1] + 1 - offsets[:-1], n) + np.arange(len(raw))
-    out[place] = np.where(SPACE[raw], np.uint8(32), raw)
+    plain = np.where(SPACE[raw], np.uint8(32), raw)
+    for i, start in enumerate((at[:-1] + 1).tolist()):
+        out[start : start + n[i]] = plain[offsets[i] : offsets[i + 1]]
     return out, at
 
 
@@ -103,7 +106,8 @@ class ToxicityModel:
     shift: float
 
     def features(self, column: pa.Array) -> np.ndarray:
-        return bag_values(column, self.table)
+        parts = [bag_values(column.slice(i, SLICE), self.table) for i in range(0, len(column), SLICE)]
+        return np.concatenate(parts) if parts else np.zeros((0, 2))
 
     def score(self, column: pa.Array) -> np.ndarray:
         x = self.features(column) @ np.array(self.slopes) + self.shift
@@ -254,6 +258,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Data
 
     Null and empty texts score as a text without any word.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
