@@ -62,24 +62,41 @@ def row_failure(execution_passed: Column, placeholder: Column, log: Column, stag
     return F.when(truthy(execution_passed), fixed("passed", "passed")).when(truthy(placeholder), fixed("generation_failure", "panta_placeholder_stub")).otherwise(failure_class(log, stage))
 
 
-def run_outcome(passed: Column, family: Column, category: Column) -> Column:
+def run_outcome(passed: Column, family: Column, category: Column, stage: Column | None = None) -> Column:
     """struct(outcome, detail) for the failure analysis from a profile row's failure class."""
-    detail = F.coalesce(F.nullif(category, F.lit("")), F.lit("unknown"))
-    outcome = (
-        F.when(truthy(passed), "passed")
-        .when(detail == "timeout_or_hang", "timeout_or_hang")
-        .when(family == "compile_failure", "compile_failure")
-        .when(family == "execution_failure", "execution_failure")
-        .when((family == "generation_failure") & detail.startswith("panta"), "panta_generation_failure")
-        .when(family == "generation_failure", "model_generation_failure")
-        .otherwise("unknown_failure")
-    )
+    family, detail = (F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown")) for c in (family, category))
+    late = detail == "timeout_or_hang"
+    if stage is not None:
+        late = late | F.coalesce(stage.isin("compile_timeout", "execute_timeout"), F.lit(False))
+    generation = F.when(detail.startswith("panta_"), "panta_generation_failure").otherwise("model_generation_failure")
+    outcome = F.when(truthy(passed), "passed").when(late, "timeout_or_hang").when(family == "generation_failure", generation).when(family.isin("compile_failure", "execution_failure"), family).otherwise("unknown_failure")
     return F.struct(outcome.alias("outcome"), F.when(truthy(passed), "passed").otherwise(detail).alias("detail"))
 
 
+def raw_outcome(passed: Column, compiled: Column, stage: Column, log: Column) -> Column:
+    """struct(outcome, detail) of a raw row of the model pipelines: its stage decides."""
+    stage = F.coalesce(stage, F.lit(""))
+    kind = failure_class(log, stage)
+    pair = lambda o, d: F.struct((F.lit(o) if isinstance(o, str) else o).alias("outcome"), (F.lit(d) if isinstance(d, str) else d).alias("detail"))
+    model = pair("model_generation_failure", F.trim(F.concat(F.lit("model_error "), F.regexp_replace(stage, "model_error_?", ""))))
+    return (
+        F.when(stage.rlike("^model_error(_|$)"), model).when(truthy(passed), pair("passed", "generated test compiled and executed"))
+        .when(stage.isin("compile_timeout", "execute_timeout"), pair("timeout_or_hang", stage)).when(stage.isin("compile", "execute"), pair(kind["family"], kind["category"]))
+        .when(F.coalesce(~compiled, F.lit(False)), pair("compile_failure", "compile_passed is false")).otherwise(pair("unknown_failure", F.concat(F.lit("error_stage="), stage)))
+    )
+
+
+#: display names of models (fixed values)
+MODEL_NAMES = {"RedHatAI/gemma-4-31B-it-FP8-Dynamic": "Gemma-4-31B", "gpt-5.4": "GPT-5.4"}
+
+
 def short_model(model: Column) -> Column:
-    """Last part of a model's path-like name; 'unknown' where there is none."""
-    return F.coalesce(F.nullif(F.element_at(F.split(model, "/"), -1), F.lit("")), F.lit("unknown"))
+    """Display name, else the last part of a model's path-like name; 'unknown' where there is none."""
+    last = F.coalesce(F.nullif(F.element_at(F.split(model, "/"), -1), F.lit("")), F.lit("unknown"))
+    out = None
+    for long, short in MODEL_NAMES.items():
+        out = F.when(model == long, short) if out is None else out.when(model == long, short)
+    return out.otherwise(last)
 
 
 def metric_status(test_passed: Column, collected: Column, evidence: Column, applicable: Column, scorable: Column) -> Column:
@@ -118,38 +135,135 @@ def item_outcome(outcomes: Column) -> Column:
     return out
 
 
+#: labels of the oracle scores 0, 1 and 2 (fixed values)
+STRENGTH = ("no_visible_oracle", "weak_visible_oracle", "direct_obligation_oracle")
+
+
 def strength_label(score: Column) -> Column:
-    """Label of a ratio: missing, none, partial or full."""
-    return F.when(score.isNull(), "not_applicable").when(score <= 0, "none").when(score < 1, "partial").otherwise("full")
+    """Label of an oracle score, clamped to 0..2; 'not_applicable' without one."""
+    at = F.greatest(F.lit(0), F.least(F.lit(2), score.cast("int")))
+    return F.when(score.isNull(), "not_applicable").otherwise(F.get(F.array(*map(F.lit, STRENGTH)), at))
+
+
+def ratio_label(score: Column) -> Column:
+    return F.when(score.isNull(), "not_applicable").otherwise("applicable")
+
+
+def control_flow_reason(represented: Column, score: Column) -> Column:
+    """Why a control-flow item scores as it does."""
+    return F.when(~truthy(represented), "cannot_be_mutated_or_non_viable_custom_mutant").when(score == 1, "all_custom_mutants_killed").when(score == 0.5, "half_custom_mutants_killed").otherwise("no_custom_mutant_killed")
+
+
+# --- fixed values: Java return types by category
+RETURN_TYPES = {
+    "boolean": ("boolean", "Boolean"), "numeric": ("byte", "short", "int", "long", "float", "double", "Byte", "Short", "Integer", "Long", "Float", "Double"), "char": ("char", "Character"),
+    "string": ("String", "java.lang.String"), "class": ("Class", "java.lang.Class"),
+    "collection": ("List", "Set", "Map", "Collection", "Iterable", "java.util.List", "java.util.Set", "java.util.Map", "java.util.Collection", "java.lang.Iterable"),
+}
 
 
 def return_type_category(kind: Column) -> Column:
-    """Category of a Java return type by its erased simple name."""
-    simple = F.regexp_replace(F.trim(F.regexp_replace(kind, r"<.*>", "")), r"^(?:[A-Za-z_$][\w$]*\.)+", "")
-    return (
-        F.when(F.coalesce(simple, F.lit("")) == "", "unknown")
-        .when(simple.endswith("[]") | simple.endswith("..."), "array")
-        .when(simple.isin("boolean", "Boolean"), "boolean")
-        .when(simple.isin("char", "Character"), "char")
-        .when(simple.isin("byte", "short", "int", "long", "float", "double", "Byte", "Short", "Integer", "Long", "Float", "Double", "BigInteger", "BigDecimal", "Number"), "numeric")
-        .when(simple.isin("String", "CharSequence", "StringBuilder", "StringBuffer"), "string")
-        .when(simple == "Class", "class")
-        .when(simple.rlike("(?:Collection|Iterable|List|Set|Map|Queue|Deque|Optional|Stream)$"), "collection")
-        .otherwise("domain_object")
-    )
+    """Category of a Java return type without its generics."""
+    erased = F.trim(F.regexp_replace(F.coalesce(kind, F.lit("")), "<.*>", ""))
+    out = F.when(erased == "", "unknown").when(erased.endswith("[]"), "array")
+    for category, names in RETURN_TYPES.items():
+        out = out.when(erased.isin(*names), category)
+    return out.otherwise("domain_object")
 
 
-def stage_log_name(stage: Column) -> Column:
-    """File name of a failed stage's log."""
-    return F.when(stage.startswith("compile"), "compile.log").when(stage.startswith("execute"), "execute.log")
+def failure_log_path(workdir: Column, prompt: Column, stage: Column) -> Column:
+    """Path of a failed row's log; null without workdir or prompt."""
+    name = F.when(stage.isin("execute", "execute_timeout"), "execute-").otherwise("mvn-test-")
+    return F.concat(F.nullif(workdir, F.lit("")), F.lit("/"), name, F.nullif(prompt, F.lit("")), F.lit(".log"))
 
 
 def first_error_lines(log: Column, n: int = 4) -> Column:
-    """First non-blank lines that speak of an error, joined by ' / '."""
-    lines = F.transform(F.split(log, r"\r?\n"), lambda x: F.trim(x))
-    told = F.filter(lines, lambda x: (x != "") & x.rlike("(?i)error|exception|failure"))
-    chosen = F.when(F.size(told) > 0, told).otherwise(F.filter(lines, lambda x: x != ""))
-    return F.array_join(F.slice(chosen, 1, n), " / ")
+    """First lines that tell of an error, trimmed and joined by ' / '."""
+    told = F.filter(F.split(log, r"\r?\n"), lambda x: x.contains("[ERROR]") | x.contains("Exception") | x.contains("AssertionError") | x.contains("error:"))
+    return F.array_join(F.transform(F.slice(told, 1, n), F.trim), " / ")
+
+
+# --- fixed values: what an execution log shows of a killed mutant
+FAILURE_LINE = r'(?m)^\s*(?:\[ERROR\]\s*)?(?:(?:Exception in thread "[^"]+"\s+|Caused by:\s*))?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)(?::|\s*$)'
+ORACLE_TYPE = (
+    r"(?:^|\.)(?:AssertionError|AssertionFailedError|ComparisonFailure|ArrayComparisonFailure|MultipleFailuresError|MockitoAssertionError)$|"
+    r"^org\.mockito\.exceptions\.verification\.(?:(?:junit|opentest4j)\.)?(?:WantedButNotInvoked|NeverWantedButInvoked|TooManyActualInvocations|TooFewActualInvocations|NoInteractionsWanted|VerificationInOrderFailure|ArgumentsAreDifferent)$"
+)
+JVM_CRASH = r"(?m)^\s*#\s*(?:A fatal error has been detected by the Java Runtime Environment|SIGSEGV|SIGBUS|SIGILL|SIGFPE)|^\s*(?:Segmentation fault|Aborted)(?:\s|$)"
+WRAPPER_TYPE = r"^org\.apache\.maven\.|^org\.codehaus\.mojo\.|^java\.lang\.reflect\.InvocationTargetException$|^java\.util\.concurrent\.ExecutionException$"
+RUNTIME_TYPE = r"(?:Exception|Error|Throwable)$|^org\.mockito\.exceptions\.misusing\.PotentialStubbingProblem$"
+CRASH_CODES = (132, 134, 135, 136, 137, 138, 139)
+
+
+def kill_class(log: Column, returncode: Column | None = None) -> Column:
+    """struct(outcome, reason) of a failed mutant run: an assertion, else a crash, else the last real exception."""
+    types = F.coalesce(F.regexp_extract_all(log, F.lit(FAILURE_LINE), F.lit(1)), F.array().cast("array<string>"))
+    oracle = F.get(F.filter(types, lambda t: t.rlike(ORACLE_TYPE)), F.lit(0))
+    last = F.get(F.reverse(F.filter(types, lambda t: ~t.rlike(WRAPPER_TYPE) & t.rlike(RUNTIME_TYPE))), F.lit(0))
+    told = F.nullif(F.regexp_extract(log, r"Process Exit Code:\s*(-?\d+)", 1), F.lit("")).cast("int")
+    code = F.coalesce(told, returncode) if returncode is not None else told
+    pair = lambda o, r: F.struct(F.lit(o).alias("outcome"), (F.lit(r) if isinstance(r, str) else r).alias("reason"))
+    return (
+        F.when(oracle.isNotNull(), pair("killed_by_oracle", F.concat(F.lit("assertion_failure:"), oracle))).when(log.rlike(JVM_CRASH), pair("killed_incidentally", "jvm_crash"))
+        .when((code < 0) | code.isin(*CRASH_CODES), pair("killed_incidentally", F.concat(F.lit("process_terminated:"), code.cast("string"))))
+        .when(last.isNotNull(), pair("killed_incidentally", F.concat(F.lit("unhandled_exception:"), last))).when(log.isNull(), pair("coverage_unverified", "execute_log_unavailable"))
+        .otherwise(pair("coverage_unverified", "failure_type_unverified"))
+    )
+
+
+def mutator_categories(mutator: Column, description: Column) -> Column:
+    """Categories of a mutation operator by its name and description, in name order."""
+    m, d = F.lower(F.coalesce(mutator, F.lit(""))), F.lower(F.coalesce(description, F.lit("")))
+    has = lambda col, *words: col.rlike("|".join(words))
+    returns = has(m, "return") | has(d, "return")
+    boundary = returns & (has(m, "null", "empty") | has(d, "null", "empty")) | has(m, "mathmutator", "increments") | has(d, "replaced integer", "changed increment")
+    return F.array_compact(F.array(
+        F.when(boundary, "boundary_value"), F.when(has(m, "negateconditionals", "conditionalsboundary") | has(d, "conditional"), "branch_condition"),
+        F.when(has(m, "constructorcall", "nonvoidmethodcall"), "interaction_dependency"), F.when(returns, "weak_oracle"),
+    ))
+
+
+# --- fixed values: classes in order of precedence
+MUTANT_RULES = (
+    ("boundary_value", "conditionalsboundary|changed conditional boundary"), ("branch_condition", "negateconditionals|conditional|switch"), ("null_handling", "null"), ("weak_oracle_return", "return"),
+    ("interaction_or_state", "void method call|removed call"), ("numeric_boundary", "increments|math|arithmetic"), ("construction", "constructor"),
+)
+BRANCH_RULES = (
+    ("exception_path", r"\bthrow\s+new\b|\bthrows\s+\w+"), ("try", r"\btry\s*\{"), ("catch", r"\bcatch\s*\("), ("case", r"\bcase\s+"), ("default", r"\bdefault\s*:"), ("else_if", r"\belse\s+if\s*\("), ("else", r"\belse\b"), ("if", r"\bif\s*\("),
+    ("enhanced_for_iteration", r"\bfor\s*\([^;:]+:\s*[^)]+\)"), ("loop_condition", r"\bfor\s*\(|\bwhile\s*\("), ("ternary", r"\?"),
+)
+RULE_SUBCATEGORIES = {
+    "boolean": ("boolean_negate",),
+    "numeric": ("numeric_zero_or_one_literal_only", "floating_zero_or_one_literal_only", "integral_expression_plus_one_noop_safe", "integral_expression_increment_noop_safe", "boxed_integral_literal_only"),
+    "string": ("string_empty_or_mutated_literal_only", "string_expression_concatenated_noop_safe"), "collection": ("collection_map_array_empty_or_singleton",),
+    "enum_or_class": ("enum_next_declared_constant", "return_null_type_compatible_replacement_class_type_changed"),
+    "object": ("domain_object_default_constructor", "domain_object_concrete_constructor_defaults", "domain_object_record_canonical_defaults", "domain_object_single_value_perturbed", "opaque_object_degenerate_null", "return_null_type_compatible_replacement", "unobservable_return_state"),
+}
+
+
+def ordered_class(text: Column, rules, default: str | None = "other") -> Column:
+    """Name of the first rule found in ``text``, letters as they are."""
+    out = None
+    for name, pattern in rules:
+        hit = F.coalesce(text.rlike(pattern), F.lit(False))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(F.lit(default))
+
+
+def mutant_class(*texts: Column) -> Column:
+    return ordered_class(F.lower(F.concat_ws(" ", *texts)), MUTANT_RULES)
+
+
+def branch_kind(snippet: Column) -> Column:
+    return ordered_class(snippet, BRANCH_RULES)
+
+
+def rule_subcategory(rule: Column) -> Column:
+    """Return subcategory of a mutation rule; null for none."""
+    out = F.when(rule.startswith("class_"), "enum_or_class")
+    for name, rules in RULE_SUBCATEGORIES.items():
+        out = out.when(rule.isin(*rules), name)
+    return out
 
 
 def test_code(extracted: Column, preview: Column, content: Column) -> Column:

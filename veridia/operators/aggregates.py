@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import NON_REPRESENTABLE, PRIMARY_CONSTRUCTS, dominant_status, item_outcome, variant_score
+from ..functions.classify import NON_REPRESENTABLE, PRIMARY_CONSTRUCTS, control_flow_reason, dominant_status, item_outcome, variant_score
 from ..functions.semantics import count_where, group_key, known_or, not_in, ratio, total, truthy
 
 
@@ -161,8 +161,8 @@ def control_flow_items(variants: DataFrame, keys: list[str]) -> DataFrame:
     done = F.col("status").isin("killed", "survived")
     out = variants.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_variants"), count_where(done).alias("represented_variants"), count_where(F.col("status") == "killed").alias("killed"))
     full = F.col("represented_variants") == F.col("total_variants")
-    reason = F.when(~full, "not_represented").when(F.col("killed") == F.col("total_variants"), "all_killed").when(F.col("killed") > 0, "some_killed").otherwise("none_killed")
-    return out.withColumn("represented", full).withColumn("score", F.when(full, ratio("killed", "total_variants"))).withColumn("score_reason", reason)
+    out = out.withColumn("score", F.when(full, ratio("killed", "total_variants")))
+    return out.withColumn("represented", full).withColumn("score_reason", control_flow_reason(full, F.col("score")))
 
 
 def control_flow_summary(items: DataFrame, keys: list[str]) -> DataFrame:

@@ -470,15 +470,15 @@ def pattern_counts(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\bth[a-z]+")).cast("long").alias("hits"))
 
 
-@query("""SELECT complexity_bucket, CASE WHEN row_score IS NULL THEN 'not_applicable' WHEN row_score <= 0 THEN 'none' WHEN row_score < 1 THEN 'partial' ELSE 'full' END AS label, count(*) AS n FROM ROWS GROUP BY ALL""")
+@query("""SELECT complexity_bucket, CASE WHEN reached_items IS NULL THEN 'not_applicable' WHEN reached_items = 0 THEN 'no_visible_oracle' WHEN reached_items = 1 THEN 'weak_visible_oracle' ELSE 'direct_obligation_oracle' END AS label, count(*) AS n FROM ROWS GROUP BY ALL""")
 def strength_labels(spark, sf):
-    return T.rows(spark, sf).groupBy("complexity_bucket", C.strength_label(F.col("row_score")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return T.rows(spark, sf).groupBy("complexity_bucket", C.strength_label(F.col("reached_items")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH K AS (SELECT row_id, CASE row_id % 9 WHEN 0 THEN 'java.util.List<String>' WHEN 1 THEN 'int[]' WHEN 2 THEN 'boolean' WHEN 3 THEN 'Character' WHEN 4 THEN 'java.math.BigDecimal' WHEN 5 THEN 'String' WHEN 6 THEN 'Class<?>' WHEN 7 THEN 'Node' ELSE '' END AS k FROM ROWS)
+@query("""WITH K AS (SELECT row_id, CASE row_id % 9 WHEN 0 THEN 'java.util.List<String>' WHEN 1 THEN 'int[]' WHEN 2 THEN 'boolean' WHEN 3 THEN 'Character' WHEN 4 THEN 'Double' WHEN 5 THEN 'String' WHEN 6 THEN 'Class<?>' WHEN 7 THEN 'Node' ELSE '' END AS k FROM ROWS)
     SELECT row_id, CASE row_id % 9 WHEN 0 THEN 'collection' WHEN 1 THEN 'array' WHEN 2 THEN 'boolean' WHEN 3 THEN 'char' WHEN 4 THEN 'numeric' WHEN 5 THEN 'string' WHEN 6 THEN 'class' WHEN 7 THEN 'domain_object' ELSE 'unknown' END AS category FROM K""")
 def return_type_categories(spark, sf):
-    kinds = F.array(*map(F.lit, ["java.util.List<String>", "int[]", "boolean", "Character", "java.math.BigDecimal", "String", "Class<?>", "Node", ""]))
+    kinds = F.array(*map(F.lit, ["java.util.List<String>", "int[]", "boolean", "Character", "Double", "String", "Class<?>", "Node", ""]))
     return T.rows(spark, sf).select("row_id", C.return_type_category(F.get(kinds, (F.col("row_id") % 9).cast("int"))).alias("category"))
 
 
@@ -532,3 +532,23 @@ def item_groups(spark, sf):
 def log_captures(spark, sf):
     n = F.regexp_extract("text", "([0-9]{12,})", 1)
     return T.table(spark, sf, "documents").select("doc_id", F.trim(F.regexp_extract("text", "([0-9A-Za-z.]+)@", 1)).alias("account"), F.when(n != "", F.left(n, F.lit(9)).cast("long")).alias("head"))
+
+
+LOGS = ["java.lang.NullPointerException: x", "[ERROR] org.opentest4j.AssertionFailedError: expected", "Process Exit Code: 137", "# SIGSEGV (0xb)", "java.lang.reflect.InvocationTargetException", "Caused by: java.io.IOException: y", "build ok"]
+
+
+@query("""SELECT row_id, CASE row_id % 7 WHEN 0 THEN 'killed_incidentally' WHEN 1 THEN 'killed_by_oracle' WHEN 2 THEN 'killed_incidentally' WHEN 3 THEN 'killed_incidentally' WHEN 4 THEN 'coverage_unverified' WHEN 5 THEN 'killed_incidentally' ELSE 'coverage_unverified' END AS outcome,
+    CASE row_id % 7 WHEN 0 THEN 'unhandled_exception:java.lang.NullPointerException' WHEN 1 THEN 'assertion_failure:org.opentest4j.AssertionFailedError' WHEN 2 THEN 'process_terminated:137' WHEN 3 THEN 'jvm_crash' WHEN 4 THEN 'failure_type_unverified'
+    WHEN 5 THEN 'unhandled_exception:java.io.IOException' ELSE 'failure_type_unverified' END AS reason FROM ROWS""")
+def kill_classes(spark, sf):
+    log = F.get(F.array(*map(F.lit, LOGS)), (F.col("row_id") % 7).cast("int"))
+    return T.rows(spark, sf).select("row_id", C.kill_class(log).alias("k")).select("row_id", "k.*")
+
+
+@query("""WITH M AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'NegateConditionalsMutator' WHEN 1 THEN 'NullReturnValsMutator' WHEN 2 THEN 'MathMutator' WHEN 3 THEN 'NonVoidMethodCallMutator' ELSE 'VoidMutator' END AS m FROM part),
+    L AS (SELECT *, lower(m) AS l FROM M) SELECT p_partkey, CASE WHEN l LIKE '%conditional%' THEN 'branch_condition' WHEN l LIKE '%null%' THEN 'null_handling' WHEN l LIKE '%return%' THEN 'weak_oracle_return' WHEN l LIKE '%math%' THEN 'numeric_boundary' ELSE 'other' END AS class,
+    CASE WHEN l LIKE '%conditional%' THEN 'branch_condition' WHEN l LIKE '%return%' THEN 'boundary_value,weak_oracle' WHEN l LIKE '%math%' THEN 'boundary_value' WHEN l LIKE '%nonvoid%' THEN 'interaction_dependency' ELSE '' END AS categories FROM L""")
+def mutator_classes(spark, sf):
+    names = F.array(*map(F.lit, ["NegateConditionalsMutator", "NullReturnValsMutator", "MathMutator", "NonVoidMethodCallMutator", "VoidMutator"]))
+    m = T.table(spark, sf, "part").select("p_partkey", F.get(names, (F.col("p_size") % 5).cast("int")).alias("m"))
+    return m.select("p_partkey", C.mutant_class(F.col("m")).alias("class"), F.array_join(C.mutator_categories(F.col("m"), F.lit("")), ",").alias("categories"))
