@@ -93,3 +93,29 @@ def assertion_features(df: DataFrame, key: str, test: str) -> DataFrame:
         key, n(r"\bassert\w*\s*\(").alias("assertions"), n(r"\bassertEquals\s*\(").alias("equals"), n(r"\bassertThrows\s*\(").alias("throws"), n(r"\bassert(?:True|False)\s*\(").alias("truths"),
         n(r"\bassert(?:NotNull|Null)\s*\(").alias("nulls"), n(r"\bfail\s*\(").alias("fails"), n(r"@Test\b").alias("tests"), n(r"\bverify\s*\(").alias("verifications"),
     )
+
+
+def exception_obligations(df: DataFrame, key: str, source: str) -> DataFrame:
+    """key, line, snippet of every line that throws."""
+    return pattern_lines(df, key, source, r"\bthrow\b")
+
+
+#: calls whose effect outside the method a test can assert (fixed values)
+SIDE_EFFECT = r"\bFiles\.(?:write|delete|copy|move)\w*\s*\(|\bnew\s+(?:FileOutputStream|OutputStreamWriter|FileWriter|BufferedWriter)\s*\(|\.(?:getOutputStream|send|execute)\s*\("
+
+
+def oracle_obligations(df: DataFrame, key: str) -> DataFrame:
+    """key, signal, line, snippet: return, exception and side-effect obligations, each once; none of returns for void targets."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(k, "return_behavior", *item) for k, source, signature in zip(pdf[key], pdf["source"], pdf["signature"]) if source for item in javatext.return_obligations(source, signature or "")]
+            out = pd.DataFrame(rows, columns=[key, "signal", "line", "snippet"])
+            out["line"] = out["line"].astype("Int32")
+            yield out
+
+    kind = dict(df.dtypes)[key]
+    returns = df.select(key, "source", "signature").mapInPandas(run, f"{key} {kind}, signal string, line int, snippet string")
+    named = lambda rows, signal: rows.select(key, F.lit(signal).alias("signal"), "line", "snippet")
+    found = returns.unionByName(named(exception_obligations(df, key, "source"), "exception_behavior")).unionByName(named(pattern_lines(df, key, "source", SIDE_EFFECT), "side_effect_or_dependency"))
+    return found.distinct()

@@ -552,3 +552,8 @@ def mutator_classes(spark, sf):
     names = F.array(*map(F.lit, ["NegateConditionalsMutator", "NullReturnValsMutator", "MathMutator", "NonVoidMethodCallMutator", "VoidMutator"]))
     m = T.table(spark, sf, "part").select("p_partkey", F.get(names, (F.col("p_size") % 5).cast("int")).alias("m"))
     return m.select("p_partkey", C.mutant_class(F.col("m")).alias("class"), F.array_join(C.mutator_categories(F.col("m"), F.lit("")), ",").alias("categories"))
+
+
+@query("SELECT row_id, 'return_behavior' AS signal, 4 AS line, 'return 0;' AS snippet FROM JAVA UNION ALL SELECT row_id, 'exception_behavior', 11, 'throw new E();' FROM JAVA")
+def oracle_obligations(spark, sf):
+    return O.oracle_obligations(T.java(spark, sf), "row_id")
