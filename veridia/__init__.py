@@ -1 +1,11 @@
-"""A PySpark-native analytics engine for nested test-adequacy records."""
+"""A PySpark-native analytics engine for nested test-adequacy records.
+
+Functions of this package travel to the executors by value, so that a cluster
+needs no installed copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
