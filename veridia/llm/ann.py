@@ -99,14 +99,14 @@ class CentroidGraph:
         return ids, np.sqrt(np.maximum(np.take_along_axis(dist, ids, 1), 0))
 
 
-def fit_lists(vectors: DataFrame, n: int, sample: int = SAMPLE, list_size: int = 256, most_lists: int = MOST_LISTS) -> CentroidGraph:
-    """Centroid graph from at most ``sample`` vectors, chosen by a hash of their ids."""
+def fit_lists(vectors: DataFrame, n: int, sample: int = SAMPLE, list_size: int = 256, most_lists: int = MOST_LISTS) -> np.ndarray:
+    """Centroids from at most ``sample`` vectors, chosen by a hash of their ids."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
     x = np.stack([np.asarray(v, np.float64) for v in rows])
     lists = 1
     while lists * 2 <= min(n / list_size, most_lists, len(x) / 4):
         lists *= 2
-    return CentroidGraph(balanced_centroids(x, lists))
+    return balanced_centroids(x, lists)
 
 
 def posting_rows(graph: CentroidGraph, x: np.ndarray, copies: int, boundary: float) -> tuple[np.ndarray, np.ndarray]:
@@ -163,19 +163,22 @@ def search(
         return spark.createDataFrame([], schema)
     dim, n = sizes[0]["d"], sizes[0]["count"]
     base, queries = base.where(F.size("v") == dim), queries.where(F.size("v") == dim)
-    graph = spark.sparkContext.broadcast(fit_lists(base, n, sample, list_size, most_lists))
+    # an array, not the graph: a broadcast is unpickled where this package need not be installed
+    centroids = spark.sparkContext.broadcast(fit_lists(base, n, sample, list_size, most_lists))
 
     def assign(batches):
+        graph = CentroidGraph(centroids.value)
         for pdf in batches:
             if len(pdf):
-                rows, lists = posting_rows(graph.value, np.stack(pdf["v"]), copies, boundary)
+                rows, lists = posting_rows(graph, np.stack(pdf["v"]), copies, boundary)
                 yield pd.DataFrame({"list": lists, "vec_id": pdf["vec_id"].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows]})
 
     def probe(batches):
+        graph = CentroidGraph(centroids.value)
         for pdf in batches:
             for at in range(0, len(pdf), 1024):
                 part = pdf[at : at + 1024]
-                ids, d = graph.value.search(np.stack(part["v"]), width)
+                ids, d = graph.search(np.stack(part["v"]), width)
                 row, col = np.nonzero((d <= (1 + ratio) * d[:, :1] + 1e-12) & np.isfinite(d))
                 yield pd.DataFrame({"list": ids[row, col], "query_id": part["vec_id"].to_numpy()[row], "q": part["v"].to_numpy()[row]})
 

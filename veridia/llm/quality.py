@@ -117,14 +117,17 @@ def kneser_ney(counts: DataFrame) -> np.ndarray:
         got = now.toPandas()
         back = np.ones(SYMBOLS ** (n - 1))
         back[got["context"].to_numpy()] = got["gamma"].to_numpy()
-        dense = np.repeat(back, SYMBOLS) * (np.tile(probability, SYMBOLS) if n > 1 else 1 / SYMBOLS)
+        if n > 1:  # back-off weight of the context times the probability after the shorter context
+            dense = (back.reshape(SYMBOLS, -1, 1) * probability.reshape(1, -1, SYMBOLS)).reshape(-1)
+        else:
+            dense = np.full(SYMBOLS, back[0] / SYMBOLS)
         dense[got["gram"].to_numpy()] = got["p"].to_numpy()
         probability = dense
         if seen_lower is not None:
             drop_stored(seen_lower)
         seen_lower = now
     drop_stored(seen_lower, *levels[1:])
-    return np.log(probability).astype(np.float32)
+    return np.log(probability, out=probability).astype(np.float32)
 
 
 def perplexities(column: pa.Array, table: np.ndarray) -> list[float | None]:

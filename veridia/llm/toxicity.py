@@ -114,7 +114,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], dims: int = 4, steps: int = 100, smooth: float = 0.3, rate_e: float = 1.5, seed: int = 7) -> ToxicityModel:
+def train(texts, labels, dims: int = 4, steps: int = 100, smooth: float = 0.3, rate_e: float = 1.5, seed: int = 7) -> ToxicityModel:
     """Joint training of embeddings and softmax, on whole documents.
 
     Embeddings start from each n-gram's smoothed log odds, then they and the
@@ -131,7 +131,9 @@ def train(texts: list[str], labels: list[int], dims: int = 4, steps: int = 100,
     cut = max(1, len(y) // 5)
     fit, held = order[cut:], order[:cut]
     order = np.concatenate((fit, held))
+    aside = pa.array([texts[i] for i in held], pa.string())
     raw, offsets = padded(pa.array([texts[i] for i in order], pa.string()))
+    del texts
     pairs = []
     for first, buf, offs in slabs(raw, offsets):
         buf, starts, ends, row = slab_words(first, buf, offs)
@@ -213,7 +215,7 @@ def train(texts: list[str], labels: list[int], dims: int = 4, steps: int = 100,
     _, emb, out = best
     table = ((out[:, 1] - out[:, 0]) @ emb).astype(np.float32)
     model = ToxicityModel(table, (1.0, 0.0), 0.0)
-    x = model.features(pa.array([texts[i] for i in held], pa.string()))
+    x = model.features(aside)
     model.slopes, model.shift = calibrate(x, y[held].astype(np.float64))
     return model
 
@@ -238,7 +240,7 @@ def held_out_fold(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> ToxicityModel:
     """Train on at most ``sample`` labelled rows outside the held-out fold.
 
     A doc_id labelled more than once counts as toxic if any label says so; null
@@ -249,8 +251,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> ToxicityModel
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` ids, hence small enough to broadcast
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").collect()
-    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: r["text"])}.values(), key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    found = {}
+    while rows:  # of repeated ids the text that sorts last
+        r = rows.pop()
+        if r["doc_id"] not in found or found[r["doc_id"]][0] < r["text"]:
+            found[r["doc_id"]] = r["text"], int(r["toxic"])
+    return train(*zip(*(found[i] for i in sorted(found)))) if found else train([], [])
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
@@ -260,18 +266,20 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Data
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
-    kept = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast is unpickled where this package need not be installed
+    kept = docs.sparkSession.sparkContext.broadcast((model.table, model.slopes, model.shift))
 
     def run(batches):
+        own = ToxicityModel(*kept.value)
         for batch in batches:
-            s = kept.value.score(batch.column(batch.schema.get_field_index("text")))
+            s = own.score(batch.column(batch.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "score"])
 
     schema = schema_with(docs, score="double")
     return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     model = fit(docs, labels, sample)
     out = score(docs.select("doc_id", "text"), model, threshold)
