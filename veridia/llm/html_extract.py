@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, small_batches
+from .common import frugal, schema_with, small_batches
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -229,7 +229,7 @@ def site_style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFra
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())], names=["host", "path", "content", "shape"])
 
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, content long, shape long")
+    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(frugal(run), "host string, path string, content long, shape long")
     each = seen.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("v")), F.struct(F.lit(1).alias("kind"), F.col("shape").alias("v")))).alias("x"))
     counts = each.groupBy("host", "path", "x").agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n").cast("double")
@@ -254,4 +254,4 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, importance: float
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     schema = schema_with(rows.select("page_id", "url"), text="string", n_chars="long")
-    return rows.select("page_id", "url", "html", "low").mapInArrow(run, schema)
+    return rows.select("page_id", "url", "html", "low").mapInArrow(frugal(run), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, mix, schema_with, small_batches, store, word_hashes
+from .common import drop_stored, frugal, mix, schema_with, small_batches, store, word_hashes
 from .components import connected_components
 
 WORDS = 5
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, schema_with(rows.select("id"), n_shingles="long", set_key="binary", bands="array<long>", sketch="array<long>"))
+    return rows.mapInArrow(frugal(run), schema_with(rows.select("id"), n_shingles="long", set_key="binary", bands="array<long>", sketch="array<long>"))
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def full_sets(texts: DataFrame) -> DataFrame:
                 some = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in shingle_sets(some.column(1))], pa.binary())], names=["id", "items"])
 
-    return texts.mapInArrow(run, schema_with(texts.select("id"), items="binary"))
+    return texts.mapInArrow(frugal(run), schema_with(texts.select("id"), items="binary"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -149,7 +149,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     both = both.select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(run, schema_with(both.select("a", "b")))
+    return both.mapInArrow(frugal(run), schema_with(both.select("a", "b")))
 
 
 #: candidate ids up to this number are broadcast (8 MB) to pick their texts; beyond it they are joined by a shuffle

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import frugal, small_batches
 
 #: ids held in memory before a block is packed and written
 BLOCK_TOKENS = 1 << 21
@@ -154,4 +154,4 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id
         if ids:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, schema_with, small_batches, store
+from .common import drop_stored, frugal, schema_with, small_batches, store
 
 ORDER = 4
 #: bytes of text that one numpy pass takes
@@ -88,7 +88,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
             part = seen[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["gram", "c"])
 
-    return texts.mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(frugal(run), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def kneser_ney(counts: DataFrame) -> np.ndarray:
@@ -163,7 +163,7 @@ def with_perplexity(rows: DataFrame, table) -> DataFrame:
             x = perplexities(batch.column(at), table.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.float64())], names=[*batch.schema.names, "perplexity"])
 
-    return rows.mapInArrow(run, schema_with(rows, perplexity="double"))
+    return rows.mapInArrow(frugal(run), schema_with(rows, perplexity="double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin: float = 2.0, texts: DataFrame | None = None) -> DataFrame:

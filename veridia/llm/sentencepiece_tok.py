@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import frugal, small_batches
 
 MARK = "▁"
 # --- fixed values: piece kinds of the model format
@@ -253,4 +253,4 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> Data
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), column, pa.array(ok, pa.bool_())], names=["doc_id", "n_tokens", "ids", "decoded_ok"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_ok boolean")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, n_tokens long, ids array<int>, decoded_ok boolean")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lower, mix, powers, schema_with, slabs, small_batches, text_buffers, word_bounds
+from .common import SPACE, frugal, lower, mix, powers, schema_with, slabs, small_batches, text_buffers, word_bounds
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -276,7 +276,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "score"])
 
     schema = schema_with(docs, score="double")
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.mapInArrow(frugal(run), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: float = 0.3) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, new_path, store
+from .common import drop_path, frugal, new_path, store
 
 #: payloads below this are never replaced by a revisit
 LEAST_REVISIT = 100
@@ -130,7 +130,7 @@ def candidates(ranges: DataFrame, span: int) -> DataFrame:
                 n = len(offs)
                 yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([start] * n, pa.int64()), pa.array(offs), pa.array(nexts), pa.array(exits)], names=["file", "start", "offset", "next", "exit"])
 
-    return ranges.mapInArrow(run, "file string, start long, offset long, next long, exit long")
+    return ranges.mapInArrow(frugal(run), "file string, start long, offset long, next long, exit long")
 
 
 def entries(found: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def read_archives(spark: SparkSession, path: str, span: int = RANGE) -> DataFram
                         rows = []
                 yield record_batch(rows)
 
-    return todo.mapInArrow(run, "file string, offset long, type string, page_id long, url string, digest string, refers_to long, payload_sha string, payload_bytes long, payload binary")
+    return todo.mapInArrow(frugal(run), "file string, offset long, type string, page_id long, url string, digest string, refers_to long, payload_sha string, payload_bytes long, payload binary")
 
 
 def urn(text: str | None) -> int | None:
