@@ -128,7 +128,8 @@ CACHE = 10_000
 class Backend:
     """encode and decode as the model's own library does."""
 
-    def __init__(self, data: bytes, verify: bool = True):
+    def __init__(self, data: bytes, verify: bool = True, ready: str | None = None):
+        """``ready``: the tokenizer of another backend of this model, as text; building one takes much memory for a moment."""
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         self.data, m = data, parse_model(data)
@@ -138,14 +139,16 @@ class Backend:
         # control, unknown and unused pieces can never be made from text
         usable = {p: (i, s) for i, (p, s, k) in enumerate(m.pieces) if k in (NORMAL, USER)}
         unk = m.pieces[m.unk_id][0]
-        if m.kind == 2:
+        if ready is not None:
+            inner = None
+        elif m.kind == 2:
             vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
             inner = models.BPE(vocab=vocab, merges=merges_of(usable), unk_token=unk, fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=CACHE)
         elif m.kind == 1:
             inner = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unk_id, byte_fallback=m.byte_fallback)
         else:
             raise ValueError(f"model kind {m.kind} is not supported")
-        tok = Tokenizer(inner)
+        tok = Tokenizer(inner) if ready is None else Tokenizer.from_str(ready)
         steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
         if m.strip_spaces:
             steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Strip()]
@@ -230,14 +233,15 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> Data
     """
     small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+        data = f.read()
+    raw = docs.sparkSession.sparkContext.broadcast((data, Backend(data).tok.to_str()))
 
     def run(batches):
         import os
 
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        backend, checked = Backend(raw.value), False
+        backend, checked = Backend(raw.value[0], False, raw.value[1]), False
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 some = batch.slice(at, SLICE)
