@@ -13,6 +13,9 @@ from veridia.llm import minhash, mixing, quality, sentencepiece_tok, toxicity
 from veridia.llm.common import store
 from veridia.llm.queries import TOKENIZERS, table
 
+#: per cent of shared five-word shingles from which documents are near copies (op4's own contract is 85)
+NEAR_COPY = 80
+
 
 def set_aside(docs: DataFrame, *names: str):
     """``docs`` with its columns of these names renamed, and the selection that restores its columns."""
@@ -35,7 +38,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; repeated rows of an id become one."""
-    found = store(minhash.near_duplicates(docs), "pipe-dups")
+    found = store(minhash.near_duplicates(docs, threshold=NEAR_COPY), "pipe-dups")
     gone = found.where("not kept").select("doc_id").distinct()
     if gone.count() <= minhash.BROADCAST_IDS:
         gone = F.broadcast(gone)

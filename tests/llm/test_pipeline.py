@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from veridia.llm import mixing
+from veridia.llm import minhash, mixing
 
 from .test_pairs import brute_links, roots
 
@@ -63,3 +63,27 @@ def test_stages_and_run(spark, corpus):
     final = corpus_pipeline.STAGES[-1][1](spark, docs, path).collect()
     assert len(final) == len(steps[4]) and all(r["decoded_ok"] and r["n_tokens"] > 0 for r in final)
     assert sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, path).collect()) == sorted((r["doc_id"], r["n_tokens"]) for r in final)
+
+
+def test_near_copies_from_80_per_cent_go(spark):
+    rng = np.random.default_rng(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    docs = []
+    for base in range(40):
+        w = list(rng.choice(vocab, 104))
+        docs.append((2 * base, " ".join(w)))
+        w[base % 5 + 40 : base % 5 + 43 + base % 4] = [f"x{base}_{k}" for k in range(3 + base % 4)]
+        docs.append((2 * base + 1, " ".join(w)))
+    s, links = brute_links(docs, 80)
+    assert len(links) > len(brute_links(docs)[1])
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert kept == {i for i, c in roots(s, links).items() if i == c}
+
+
+def test_bands_miss_few_pairs_at_the_threshold():
+    for threshold in (75, 80, 85, 95):
+        assert (1 - (threshold / 100) ** minhash.ROWS) ** minhash.band_count(threshold) <= 3.1e-5
+    assert minhash.band_count(85) == minhash.BANDS and minhash.slack(85) == minhash.SLACK < minhash.slack(80)
+    with pytest.raises(ValueError):
+        minhash.band_count(50)

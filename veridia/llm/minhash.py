@@ -16,6 +16,8 @@ makes a link between two components possible. Links are confirmed on full sets.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,11 +28,14 @@ from .components import connected_components
 
 WORDS = 5
 ROWS = 6
+#: bands at a threshold of 85; lower thresholds take more, see :func:`band_count`
 BANDS = 22
+#: a pair at the threshold shares no band with at most this probability
+MISS = 3.1e-5
 #: samples in all; those beyond the bands serve the sketch alone
 SAMPLES = 448
 SKETCH_BITS = 2048
-#: links whose estimate is this far below the threshold (more than four standard deviations) are not confirmed
+#: links whose estimate is this far below the threshold (more than four standard deviations at 85) are not confirmed; see :func:`slack`
 SLACK = 0.075
 #: members of a bucket compared in one task
 TILE_LEFT, TILE_RIGHT = 1024, 4096
@@ -41,6 +46,24 @@ TERMS = _rng.integers(0, 1 << 32, SAMPLES, np.uint64).astype(np.uint32)
 PLACES = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def band_count(threshold: int) -> int:
+    """Bands that miss a pair at ``threshold`` per cent with a probability of at most MISS, BANDS at least."""
+    n = math.ceil(math.log(MISS) / math.log1p(-((threshold / 100) ** ROWS))) if 0 < threshold < 100 else BANDS if threshold >= 100 else SAMPLES
+    if n * ROWS > SAMPLES:
+        raise ValueError(f"a threshold of {threshold} takes more than {SAMPLES // ROWS} bands")
+    return max(BANDS, n)
+
+
+def slack(threshold: int) -> float:
+    """How far below the threshold an estimate still makes a link possible: 4.2 standard deviations, SLACK at least.
+
+    The variance is that of the samples and that of bits which several differing samples share.
+    """
+    far = max(0.0, 1 - threshold / 100)
+    spread = far * (1 - far) / SAMPLES + 2 * far * far / SKETCH_BITS * math.exp(8 * SAMPLES * far / SKETCH_BITS)
+    return max(SLACK, 4.2 * math.sqrt(spread))
+
+
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word shingles.
 
@@ -74,11 +97,11 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
+def band_keys(samples: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """A 64-bit key of each band."""
-    rows = samples[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    rows = samples[: bands * ROWS].reshape(bands, ROWS).astype(np.uint64)
     places = mix(np.arange(100, 100 + ROWS, dtype=np.uint64)) | np.uint64(1)
-    return mix((mix(rows) * places).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix((mix(rows) * places).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
@@ -94,7 +117,7 @@ def estimate(differing) -> F.Column:
     return 1 + SKETCH_BITS / (4.0 * SAMPLES) * F.log(rest)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS) -> DataFrame:
     """id, n_shingles, set_key, bands and sketch (both null for an empty set) of every row."""
 
     def run(batches):
@@ -110,7 +133,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     samples = minhashes(s)
                     with np.errstate(over="ignore"):
                         keys.append(np.array([mix(s).sum(dtype=np.uint64), mix(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)]).tobytes() + len(s).to_bytes(8, "little"))
-                    bands.append(band_keys(samples).view(np.int64))
+                    bands.append(band_keys(samples, n_bands).view(np.int64))
                     sketches.append(odd_sketch(samples))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
@@ -171,7 +194,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFram
     both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("_x")), "a")
     both = both.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("_y")), "b")
     differing = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    return both.withColumn("est", estimate(differing)).where(F.col("est") >= threshold / 100 - SLACK).select("a", "b", "est")
+    return both.withColumn("est", estimate(differing)).where(F.col("est") >= threshold / 100 - slack(threshold)).select("a", "b", "est")
 
 
 class Linker:
@@ -239,7 +262,7 @@ class Linker:
         as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.struct(own_i.alias("i"), j.alias("j"), F.lit(True).alias("left")))
         both = F.when(F.col("small"), F.concat(as_left, as_right)).otherwise(as_right)
         placed = held.select("key", "id", "c_id", "small", F.explode(both).alias("at")).select("key", "at.*", "id", "c_id", "small").join(own, "id")
-        least = self.threshold / 100 - SLACK
+        least, n_bands = self.threshold / 100 - slack(self.threshold), band_count(self.threshold)
 
         def compare(table: pa.Table) -> pa.Table:
             is_left = table["left"].to_numpy()
@@ -248,7 +271,7 @@ class Linker:
                 key = table["key"][0].as_py()
                 ids, comp, small = (table[c].to_numpy() for c in ("id", "c_id", "small"))
                 sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
-                bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+                bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, n_bands)
                 l, r = np.flatnonzero(is_left), np.flatnonzero(~is_left)
                 for at in range(0, len(l), 64):
                     x = l[at : at + 64]
@@ -274,10 +297,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Ids are integers. Documents link where 100 * intersection >= threshold *
     union of their shingle sets; empty sets (null or empty texts) and null ids
     link with nothing. Repeated rows get equal results. A pair at the threshold
-    is found in some band with probability 0.99997, at 0.9 with 0.9999999.
+    is found in some band with probability 0.99997; thresholds that take more
+    than SAMPLES // ROWS bands for that (below about 72) raise ValueError.
     """
     small_batches(docs.sparkSession)
-    sig = store(signatures(docs, id_col, text_col), "mh-signatures")
+    sig = store(signatures(docs, id_col, text_col, band_count(threshold)), "mh-signatures")
     real = sig.where("set_key is not null and id is not null")
     reps = store(real.groupBy("set_key").agg(F.min("id").alias("rep")), "mh-reps")
     own = real.join(reps.select("set_key", F.col("rep").alias("id")), ["set_key", "id"], "left_semi")
