@@ -157,6 +157,24 @@ def test_warc_reading_in_small_ranges(spark, span, tmp_path):
     assert sorted((r["page_id"], r["payload"].decode()) for r in got) == sorted((i, h) for i, _, h in pages)
 
 
+@pytest.mark.parametrize("span", [3000, warc.RANGE])
+def test_warc_headers_of_any_length(spark, span, tmp_path):
+    long = "http://h/" + "p" * (5 * warc.HEADER)
+    pages = [(i, long + "WARC/1.1" if i % 4 == 1 else f"http://h/{i}", f"page {i} " * 40) for i in range(12)]
+    df = spark.createDataFrame(pages, PAGES)
+    path = "file://" + str(tmp_path / "warc")
+    warc.write_archives(df.coalesce(1), path)
+    got = warc.read_archives(spark, path, span=span).collect()
+    assert sorted((r["page_id"], r["url"], r["payload"].decode()) for r in got) == sorted(pages)
+    assert warc.round_trip(df).count() == len(pages)
+
+
+def test_warc_broken_archives_fail(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\nContent-Length: 50\r\n\r\nabc\r\n\r\n")
+    with pytest.raises(ValueError, match="stop before its end"):
+        warc.read_archives(spark, "file://" + str(tmp_path))
+
+
 def test_range_exits_by_walking():
     rng = np.random.default_rng(0)
     offsets = np.sort(rng.choice(5000, 300, False))

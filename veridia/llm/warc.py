@@ -9,7 +9,8 @@ that look like a record start and emits candidate offset, successor offset and
 the first offset outside the range that the chain from there leads to. Pointer
 jumping over those exits from each file's start marks the range entries that
 are reachable, and only the chain from a range's entry is kept; a record start
-inside a payload is never reached.
+inside a payload is never reached. A chain that stops before its file's end
+fails the read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ LEAST_REVISIT = 100
 RECORDS_PER_FILE = 4096
 #: bytes of an archive that one row of the reader covers
 RANGE = 4 << 20
-#: a record header may be this long; ranges overlap by as much
+#: ranges overlap by as much at first; those with a header that is not closed within it are read again with more
 HEADER = 64 << 10
 #: repeated payloads, or archive ranges, up to this number are broadcast; beyond it they are joined by a shuffle
 BROADCAST_ROWS = 200_000
@@ -74,7 +75,7 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
 
 def header_of(data: bytes, at: int):
     """(payload offset, payload length, fields) of the record at ``at``, or None."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     found = {}
@@ -102,25 +103,33 @@ def range_exits(offsets: np.ndarray, nexts: np.ndarray, end: int) -> np.ndarray:
     return exits[:-1]
 
 
-def file_ranges(spark: SparkSession, path: str, span: int) -> DataFrame:
-    """file, length, start and bytes (with the overlap behind) of every range of every archive."""
+def file_ranges(spark: SparkSession, path: str, span: int, overlap: int = HEADER) -> DataFrame:
+    """file, length, start and bytes (with ``overlap`` behind) of every range of every archive."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", "content")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("length") - 1), F.lit(span).cast("long")))
-    cut = F.substring("content", (F.col("start") + 1).cast("int"), F.lit(span + HEADER))
+    cut = F.substring("content", (F.col("start") + 1).cast("int"), F.lit(min(span + overlap, (1 << 31) - 1)))
     return files.where("length > 0").select("file", "length", "content", starts.alias("start")).select("file", "length", "start", cut.alias("part"))
 
 
 def candidates(ranges: DataFrame, span: int) -> DataFrame:
-    """file, start, offset, next and exit of every place that looks like a record's start."""
+    """file, start, offset, next and exit of every place that looks like a record's start.
+
+    A range with a header that is not closed within its bytes gives one row of
+    offset -1 instead of its candidates.
+    """
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 file, length, start, data = (batch.column(i)[k].as_py() for i in range(4))
-                offs, nexts = [], []
+                offs, nexts, last = [], [], data.rfind(b"\r\n\r\n")
                 for m in MAGIC.finditer(data):
                     if m.start() >= span:
                         break
+                    if last < m.start():
+                        if start + len(data) < length:
+                            offs, nexts = [-1], [-2]  # a next of its own would be a loop
+                        break
                     head = header_of(data, m.start())
                     if head and start + head[0] + head[1] + 4 <= length:
                         offs.append(start + m.start())
@@ -133,6 +142,22 @@ def candidates(ranges: DataFrame, span: int) -> DataFrame:
     return ranges.mapInArrow(frugal(run), "file string, start long, offset long, next long, exit long")
 
 
+def all_candidates(spark: SparkSession, path: str, span: int) -> DataFrame:
+    """The candidates of all ranges, those with long headers read with as much overlap as they take."""
+    overlap, whole = HEADER, None
+    ranges = file_ranges(spark, path, span)
+    while True:
+        found = store(candidates(ranges, span), "warc-found")
+        good = found.where("offset >= 0")
+        whole = good if whole is None else whole.union(good)
+        longer = found.where("offset < 0").select("file", "start").distinct()
+        n = longer.count()
+        if not n:
+            return whole
+        overlap *= 16
+        ranges = file_ranges(spark, path, span, overlap).join(F.broadcast(longer) if n <= BROADCAST_ROWS else longer, ["file", "start"], "left_semi").select("file", "length", "start", "part")
+
+
 def entries(found: DataFrame) -> DataFrame:
     """file and offset of the reachable range entries: each file's start and all exits that follow from it."""
     jump = found.where("exit >= 0").select("file", F.col("offset").alias("at"), F.col("exit").alias("to"))
@@ -157,10 +182,14 @@ def read_archives(spark: SparkSession, path: str, span: int = RANGE) -> DataFram
     refers_to, payload (null where it reaches beyond the range; see
     ``payload_sha`` and ``payload_bytes``, which are computed from the bytes).
     """
-    ranges = file_ranges(spark, path, span)
-    found = store(candidates(ranges, span), "warc-found")
+    found = all_candidates(spark, path, span)
     start = (F.col("offset") - F.col("offset") % span).alias("start")
-    entry = entries(found).select("file", start, "offset").groupBy("file", "start").agg(F.min("offset").alias("entry"))
+    reached = entries(found)
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    broken = files.join(reached, (files["file"] == reached["file"]) & (files["length"] == reached["offset"]), "left_anti").first()
+    if broken:
+        raise ValueError(f"the records of {broken['file']} stop before its end")
+    entry = reached.select("file", start, "offset").groupBy("file", "start").agg(F.min("offset").alias("entry"))
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", "content")
     cut = F.substring("content", (F.col("entry") + 1).cast("int"), F.col("take").cast("int"))
     last = found.groupBy("file", "start").agg(F.max("next").alias("last"))
@@ -177,8 +206,8 @@ def read_archives(spark: SparkSession, path: str, span: int = RANGE) -> DataFram
                 at, rows = 0, []
                 while at < len(data) and entry + at < start + span:
                     head = MAGIC.match(data, at) and header_of(data, at)
-                    if not head:
-                        break
+                    if not head or head[0] + head[1] > len(data):
+                        raise ValueError(f"{file} has no whole record at {entry + at}")
                     body = data[head[0] : head[0] + head[1]]
                     f = {n.decode(): v.decode("utf-8", "replace") for n, v in head[2].items()}
                     rows.append((file, entry + at, f.get("warc-type"), urn(f.get("warc-record-id")), f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha256:"), urn(f.get("warc-refers-to")), hashlib.sha256(body).hexdigest(), len(body), body))
@@ -207,13 +236,16 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     A revisit's size is looked up at the response it refers to; its digest
     comes from its header. A response whose bytes do not match its header's
-    digest fails the query.
+    digest, or another number of records than pages, fails the query.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path)
     got = store(read_archives(spark, path).drop("payload", "file", "offset", "url"), "warc-read")
     drop_path(spark, path)
+    read, wanted = got.count(), pages.count()
+    if read != wanted:
+        raise ValueError(f"{read} records read of {wanted} pages")
     size = got.where("type = 'response'").groupBy(F.col("payload_sha").alias("digest")).agg(F.max("payload_bytes").alias("full"))
     rows = got.join(size, "digest", "left")
     good = (F.col("type") == "revisit") | (F.col("digest") == F.col("payload_sha"))
