@@ -298,3 +298,18 @@ def test_long_text_counts_like_short_ones():
     assert whole == [1.0]
     n = sum(len(g) for g, _ in quality.grams(pa.array([t])))
     assert n == len(t) + 1 and re.match("ab", t)
+
+
+def test_repeats_of_words():
+    same, pairs = quality.repeats(pa.array(["a a A b", None, "b b", "", "x", "x y x"]))
+    assert same.tolist() == [2, 0, 1, 0, 0, 0] and pairs.tolist() == [3, 0, 1, 0, 0, 2]
+
+
+def test_quality_drops_repetition(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeioulmnrst"), 5)) for _ in range(300)]
+    good = [(i, " ".join(rng.choice(words, 80))) for i in range(200)]
+    again = [(1000 + i, " ".join(w for w in rng.choice(words, 5) for _ in range(16))) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(docs(spark, good + again), labels).collect()}
+    assert all(got[i] for i, _ in good) and not any(got[i] for i, _ in again)

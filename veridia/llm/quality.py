@@ -5,8 +5,9 @@ classes (letters, common punctuation, digits, other), so a count table has at
 most SYMBOLS**ORDER rows whatever the corpus. All trusted text is counted with
 map-side partials. Discounts, context sums and interpolated probabilities come
 from joins of the count tables, sharded by gram, suffix and context. A document
-is scored by its perplexity over its whole text and rejected where that lies
-outside its language's quantiles of trusted perplexities.
+is scored by its perplexity over its whole text, in which words that repeat the
+word before them cost as much as such repeats are rare in trusted text, and
+rejected where that lies above a limit from its language's trusted perplexities.
 
 Scoring looks the bounded table up in each task: joining every document's grams
 with it would move about ten times the input.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, frugal, schema_with, small_batches, store
+from .common import drop_stored, frugal, schema_with, small_batches, store, word_hashes
 
 ORDER = 4
 #: bytes of text that one numpy pass takes
@@ -130,9 +131,43 @@ def kneser_ney(counts: DataFrame) -> np.ndarray:
     return np.log(probability, out=probability).astype(np.float32)
 
 
-def perplexities(column: pa.Array, table: np.ndarray) -> list[float | None]:
-    """Per-symbol perplexity of each text; None for null and empty ones."""
+def repeats(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many words of each text equal the word before them, and how many have a word before them."""
+    if len(column) > 64:  # bounds the arrays of words
+        parts = [repeats(column.slice(at, 64)) for at in range(0, len(column), 64)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    words, counts = word_hashes(column)
+    same = np.zeros(len(words) + 1, np.int64)
+    same[1:-1] = words[1:] == words[:-1]
+    ends = np.cumsum(counts)
+    same[(ends - counts)[counts > 0]] = 0  # a text's first word
+    upto = np.concatenate(([0], np.cumsum(same[:-1])))
+    return upto[ends] - upto[ends - counts], np.maximum(counts - 1, 0)
+
+
+def repeat_rate(texts: DataFrame) -> float:
+    """The share of words that equal the word before them in the one text column of ``texts``, strictly between 0 and 1."""
+
+    def run(batches):
+        for batch in batches:
+            same, pairs = repeats(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([int(same.sum())]), pa.array([int(pairs.sum())])], names=["same", "pairs"])
+
+    row = texts.mapInArrow(frugal(run), "same long, pairs long").agg(F.sum("same").alias("same"), F.sum("pairs").alias("pairs")).first()
+    return ((row["same"] or 0) + 0.5) / ((row["pairs"] or 0) + 1)
+
+
+def perplexities(column: pa.Array, table: np.ndarray, rate: float | None = None) -> list[float | None]:
+    """Per-symbol perplexity of each text; None for null and empty ones.
+
+    With ``rate``, every word also costs the choice whether it repeats the word
+    before it. This term does not make the spelling of a repeat free, so that
+    repetition is improbable and not easy to predict.
+    """
     total, n = np.zeros(len(column)), np.zeros(len(column), np.int64)
+    if rate is not None:
+        same, pairs = repeats(column)
+        total += same * np.log(rate) + (pairs - same) * np.log1p(-rate)
     for g, rows in grams(column):
         total += np.bincount(rows, table[g], len(total))
         n += np.bincount(rows, minlength=len(n))
@@ -154,23 +189,23 @@ def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi").select("lang", "text")
 
 
-def with_perplexity(rows: DataFrame, table) -> DataFrame:
-    """``rows`` with a perplexity column, from its text column; ``table`` is a broadcast variable."""
+def with_perplexity(rows: DataFrame, table, rate: float) -> DataFrame:
+    """``rows`` with a perplexity column, from its text column; ``table`` is a broadcast variable, ``rate`` that of repeats."""
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            x = perplexities(batch.column(at), table.value)
+            x = perplexities(batch.column(at), table.value, rate)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.float64())], names=[*batch.schema.names, "perplexity"])
 
     return rows.mapInArrow(frugal(run), schema_with(rows, perplexity="double"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin: float = 2.0, texts: DataFrame | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin: float = 1.2, texts: DataFrame | None = None) -> DataFrame:
     """``docs`` with perplexity, threshold and kept (columns of these names are replaced).
 
     A language's threshold is ``margin`` times the ``quantile`` of its trusted
-    perplexities; a language without trusted text, or a null one, takes that of
+    perplexities, as clean texts outside the trusted ones lie a little above; a language without trusted text, or a null one, takes that of
     all trusted text. Null and empty texts have no perplexity and are not kept,
     unless there is no trusted text at all, in which case everything is.
     """
@@ -180,13 +215,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin:
     counts = store(count_grams(trusted.select("text")), "kn-grams")
     table = docs.sparkSession.sparkContext.broadcast(kneser_ney(counts))
     drop_stored(counts)
-    known = store(with_perplexity(trusted, table).drop("text").where("perplexity is not null"), "kn-trusted")
+    rate = repeat_rate(trusted.select("text"))
+    known = store(with_perplexity(trusted, table, rate).drop("text").where("perplexity is not null"), "kn-trusted")
     q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)) * margin
     overall = known.agg(q.alias("t")).first()["t"]
     each = known.where("lang is not null").groupBy(F.col("lang").alias("_lang")).agg(q.alias("threshold"))
     each = store(each, "kn-thresholds")
     few = F.broadcast(each) if each.count() <= BROADCAST_LANGS else each
-    rows = with_perplexity(docs, table).join(few, F.col("lang") == F.col("_lang"), "left").drop("_lang")
+    rows = with_perplexity(docs, table, rate).join(few, F.col("lang") == F.col("_lang"), "left").drop("_lang")
     rows = rows.withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.col("threshold").isNull())
     return rows.withColumn("kept", kept)
