@@ -14,15 +14,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+#: paths and broadcast variables that operators have made and nobody has released
+_held: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is set (tests)."""
+    """The session's shared folder; one of this machine's only where none is set and no other machine takes part."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext.getCheckpointDir()
         path = found.rsplit("/", 1)[0] if found else None
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="veridia-"))
         path = _own_dir[0]
@@ -40,6 +45,7 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _held.append(path)
     return out
 
 
@@ -52,6 +58,62 @@ def drop_stored(*tables: DataFrame) -> None:
     """Remove tables written by :func:`store` once nothing reads them any more."""
     for df in tables:
         drop_path(df.sparkSession, df.stored_at)
+        if df.stored_at in _held:
+            _held.remove(df.stored_at)
+
+
+def send(spark: SparkSession, value):
+    """A broadcast variable that :func:`release` destroys."""
+    out = spark.sparkContext.broadcast(value)
+    _held.append(out)
+    return out
+
+
+def mark() -> int:
+    """A point that :func:`release` goes back to."""
+    return len(_held)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Remove all tables and broadcast variables made since a :func:`mark`, but for the tables ``keep``.
+
+    For callers that have written what they need: a result that was not written
+    may still read them.
+    """
+    kept = {df.stored_at for df in keep}
+    for x in [x for x in _held[since:] if not isinstance(x, str) or x not in kept]:
+        _held.remove(x)
+        if isinstance(x, str):
+            drop_path(spark, x)
+        else:
+            x.destroy()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` does not have in any spelling."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def texts(column) -> list[str | None]:
+    """The texts of a string column; bytes that are no UTF-8 read as U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
 
 
 #: rows of a batch between the JVM and Python; texts are long, so the default of 10,000 holds too much memory
@@ -74,14 +136,8 @@ def frugal(run):
     """
 
     def wrapped(batches):
-        import ctypes
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library than glibc
-            pass
+        trim()
 
     return wrapped
 
