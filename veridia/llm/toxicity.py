@@ -8,9 +8,10 @@ with known words, hence their vectors. The same value is also averaged over
 windows of ``WINDOW`` words, so that a toxic passage in a long text still
 shows; a calibration learned on held-back sample rows joins the two.
 
-Training takes at most ``sample`` labelled rows, chosen by a hash of doc_id.
-That bound and the table of ``BUCKETS`` n-grams are the only limits; scoring
-reads every word of every row.
+Training takes at most ``sample`` labelled rows, chosen by a hash of doc_id, and
+of them as many as have ``words`` distinct words in all; both bounds are
+parameters. Texts stay on the executors, which send counted word hashes and the
+n-gram buckets of the words to the driver. Scoring reads every word of every row.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, frugal, lower, mix, powers, schema_with, slabs, small_batches, text_buffers, word_bounds
+from .common import SPACE, drop_stored, frugal, lower, mix, powers, schema_with, send, slabs, small_batches, store, text_buffers, trim, word_bounds
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -114,57 +115,78 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(texts, labels, dims: int = 4, steps: int = 100, smooth: float = 0.3, rate_e: float = 1.5, seed: int = 7) -> ToxicityModel:
-    """Joint training of embeddings and softmax, on whole documents.
-
-    Embeddings start from each n-gram's smoothed log odds, then they and the
-    softmax are trained together. Only words seen in two documents or more
-    teach. A fifth of the sample (in random order) is held back: the steps with
-    the least loss there are kept, and it calibrates the two bag features into
-    one score.
-    """
-    rng = np.random.default_rng(seed)
-    y = np.asarray(labels)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), (0.0, 0.0), -4.0 if not y.any() else 4.0)
-    order = rng.permutation(len(y))
-    cut = max(1, len(y) // 5)
-    fit, held = order[cut:], order[:cut]
-    order = np.concatenate((fit, held))
-    aside = pa.array([texts[i] for i in held], pa.string())
-    raw, offsets = padded(pa.array([texts[i] for i in order], pa.string()))
-    del texts
-    pairs = []
+def counted_words(column: pa.Array):
+    """(words, hashes, counts) of each text: how many words it has, and its distinct ones with their counts."""
+    raw, offsets = padded(column)
+    n = len(offsets) - 1
+    length, parts = np.zeros(n, np.int64), [[] for _ in range(n)]
     for first, buf, offs in slabs(raw, offsets):
         buf, starts, ends, row = slab_words(first, buf, offs)
-        if len(starts):
-            name = span_hash(buf, starts, ends)
-            by = np.lexsort((name, row))
-            name, row = name[by], row[by]
-            new = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (row[1:] != row[:-1]))))
-            pairs.append((row[new].astype(np.int32), name[new], np.diff(np.concatenate((new, [len(row)]))).astype(np.int32)))
-    row, name, count = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))
-    length = np.bincount(row, count, len(order))
-    types, seen = np.unique(name, return_counts=True)
-    types = types[seen > 1]
-    n_types = len(types)
-    if not n_types:
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), (0.0, 0.0), float(np.log(y.mean() / (1 - y.mean()))))
-    kind = np.minimum(np.searchsorted(types, name), n_types - 1)
-    use = types[kind] == name
-    row, kind, count = row[use], kind[use].astype(np.int32), count[use]
-    done, events = np.zeros(n_types, bool), []
+        name = span_hash(buf, starts, ends)
+        length += np.bincount(row, minlength=n)
+        cut = np.flatnonzero(np.diff(row, prepend=-1))
+        for i, j in zip(cut, [*cut[1:], len(row)]):
+            parts[row[i]].append(name[i:j])
+    for i in range(n):
+        name, count = np.unique(np.concatenate(parts[i]), return_counts=True) if parts[i] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        yield int(length[i]), name, count.astype(np.int32)
+
+
+def buckets_of(column: pa.Array, types: np.ndarray):
+    """(hash, buckets) of the words of the texts that are among the sorted ``types``, each once per piece of text."""
+    raw, offsets = padded(column)
     for first, buf, offs in slabs(raw, offsets):
         buf, starts, ends, _ = slab_words(first, buf, offs)
         name, one = np.unique(span_hash(buf, starts, ends), return_index=True)
-        at = np.minimum(np.searchsorted(types, name), n_types - 1)
-        new = (types[at] == name) & ~done[at]
-        done[at[new]] = True
-        if new.any():
-            of, bucket = gram_events(buf, starts[one[new]], ends[one[new]])
-            events.append((at[new].astype(np.int32)[of], bucket))
-    word, bucket = (np.concatenate(x) for x in zip(*events))
-    del raw, pairs, events, types
+        known = types[np.minimum(np.searchsorted(types, name), len(types) - 1)] == name
+        name, one = name[known], one[known]
+        of, bucket = gram_events(buf, starts[one], ends[one])
+        order = np.argsort(of, kind="stable")
+        ends_at = np.searchsorted(of[order], np.arange(len(name) + 1))
+        for i in range(len(name)):
+            yield name[i], bucket[order[ends_at[i] : ends_at[i + 1]]]
+
+
+@dataclass
+class Sample:
+    """Counted words of the training documents, in order of doc_id."""
+
+    labels: np.ndarray
+    length: np.ndarray  # words of each document
+    row: np.ndarray  # of each distinct word of each document: the document,
+    name: np.ndarray  # the word's hash
+    count: np.ndarray  # and how often it occurs
+
+    def types(self) -> np.ndarray:
+        """Words of two documents or more."""
+        types, seen = np.unique(self.name, return_counts=True)
+        return types[seen > 1]
+
+
+def shuffled(n: int, seed: int = 7) -> tuple[np.ndarray, int]:
+    """The documents in training order, and how many at its end are held back."""
+    return np.random.default_rng(seed).permutation(n), max(1, n // 5)
+
+
+def train(data: Sample, types: np.ndarray, word: np.ndarray, bucket: np.ndarray, dims: int = 4, steps: int = 100, smooth: float = 0.3, rate_e: float = 1.5, seed: int = 7) -> np.ndarray:
+    """Joint training of embeddings and softmax; the logit that each bucket adds.
+
+    ``word`` and ``bucket`` are the n-gram buckets of the words ``types``.
+    Embeddings start from each n-gram's smoothed log odds, then they and the
+    softmax are trained together. A fifth of the sample (in random order) is
+    held back: the steps with the least loss there are kept.
+    """
+    y, n_types = data.labels, len(types)
+    order, cut = shuffled(len(y), seed)
+    order = np.concatenate((order[cut:], order[:cut]))
+    rng = np.random.default_rng(seed + 1)
+    kind = np.minimum(np.searchsorted(types, data.name), n_types - 1)
+    use = types[kind] == data.name
+    place = np.empty(len(y), np.int32)
+    place[order] = np.arange(len(y))
+    row, kind, count = place[data.row[use]], kind[use].astype(np.int32), data.count[use]
+    length = data.length[order]
+    fit = order[: len(y) - cut]
     per = np.bincount(word, minlength=n_types)
     share = (1 / per[word]).astype(np.float32)
     weight = (count / np.maximum(length, LEAST_WORDS)[row]).astype(np.float32)
@@ -213,11 +235,7 @@ def train(texts, labels, dims: int = 4, steps: int = 100, smooth: float = 0.3, r
             v += 0.02 * (grad * grad - v)
             param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-12)
     _, emb, out = best
-    table = ((out[:, 1] - out[:, 0]) @ emb).astype(np.float32)
-    model = ToxicityModel(table, (1.0, 0.0), 0.0)
-    x = model.features(aside)
-    model.slopes, model.shift = calibrate(x, y[held].astype(np.float64))
-    return model
+    return ((out[:, 1] - out[:, 0]) @ emb).astype(np.float32)
 
 
 def calibrate(x: np.ndarray, t: np.ndarray) -> tuple[tuple[float, ...], float]:
@@ -240,34 +258,107 @@ def held_out_fold(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int = 2_000_000) -> ToxicityModel:
     """Train on at most ``sample`` labelled rows outside the held-out fold.
 
     A doc_id labelled more than once counts as toxic if any label says so; null
-    ids, labels and texts are not used.
+    ids, labels and texts are not used. Of repeated ids the text that sorts last
+    teaches. Rows are taken in order of a hash of doc_id; one whose distinct
+    words would exceed ``words`` in all is left out whole. With labels of one
+    class only, every text scores 0.02 or 0.98; without labels, 0.02; with two
+    classes but no word in two documents, or one class among those that teach,
+    the share of toxic rows.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where(~held_out_fold(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` ids, hence small enough to broadcast
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").collect()
-    found = {}
-    while rows:  # of repeated ids the text that sorts last
-        r = rows.pop()
-        if r["doc_id"] not in found or found[r["doc_id"]][0] < r["text"]:
-            found[r["doc_id"]] = r["text"], int(r["toxic"])
-    return train(*zip(*(found[i] for i in sorted(found)))) if found else train([], [])
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")
+    rows = store(rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").cast("int").alias("toxic")), "tox-sample")
+
+    def count(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                length, name, n = zip(*counted_words(some.column(1)))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(2), pa.array(length, pa.int64()), pa.array([len(x) for x in name], pa.int64()), pa.array([x.tobytes() for x in name], pa.binary()), pa.array([x.tobytes() for x in n], pa.binary())],
+                    names=["doc_id", "toxic", "length", "n", "names", "counts"],
+                )
+
+    counted = store(rows.mapInArrow(frugal(count), schema_with(rows.select("doc_id", "toxic"), length="long", n="long", names="binary", counts="binary")), "tox-words")
+    taken, left = [], words
+    for r in counted.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= left:
+            taken.append(r["doc_id"])
+            left -= r["n"]
+    chosen = F.broadcast(spark.createDataFrame([(i,) for i in taken], counted.select("doc_id").schema)) if taken else None
+    if not taken:
+        drop_stored(rows, counted)
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), (0.0, 0.0), -4.0)
+    got = counted.join(chosen, "doc_id", "left_semi").orderBy("doc_id").toArrow()
+    names = [np.frombuffer(x.as_buffer(), np.uint64) for x in got["names"]]
+    counts = [np.frombuffer(x.as_buffer(), np.int32) for x in got["counts"]]
+    data = Sample(np.asarray(got["toxic"], np.int64), np.asarray(got["length"]), np.repeat(np.arange(len(names), dtype=np.int32), [len(x) for x in names]), np.concatenate(names), np.concatenate(counts))
+    y, types = data.labels, data.types()
+    order, n_held = shuffled(len(y))
+    fitted = y[order[n_held:]]
+    if y.min() == y.max() or not len(types) or not len(fitted) or fitted.min() == fitted.max():
+        drop_stored(rows, counted)
+        shift = (-4.0 if not y.any() else 4.0) if y.min() == y.max() else float(np.log(y.mean() / (1 - y.mean())))
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), (0.0, 0.0), shift)
+    ids = np.asarray(got["doc_id"])
+    del got, names, counts
+    texts = rows.join(chosen, "doc_id", "left_semi")
+    sent = spark.sparkContext.broadcast(types)
+
+    def spell(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                found = list(buckets_of(batch.column(0).slice(at, SLICE), sent.value))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in found], np.uint64).view(np.int64)), pa.array([b.tobytes() for _, b in found], pa.binary())], names=["name", "buckets"])
+
+    spelled = texts.select("text").mapInArrow(frugal(spell), "name long, buckets binary").groupBy("name").agg(F.min("buckets").alias("buckets")).toArrow()
+    buckets = [np.frombuffer(x.as_buffer(), np.int32) for x in spelled["buckets"]]
+    word = np.repeat(np.searchsorted(types, np.asarray(spelled["name"]).view(np.uint64)), [len(b) for b in buckets]).astype(np.int32)
+    bucket = np.concatenate(buckets)
+    del spelled, buckets
+    sent.destroy()
+    by = np.lexsort((bucket, word))  # whatever order the tasks' answers came in
+    table = train(data, types, word[by], bucket[by])
+    held = order[:n_held]
+    sent = spark.sparkContext.broadcast(table)
+
+    def features(batches):
+        for batch in batches:
+            x = ToxicityModel(sent.value, (), 0.0).features(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "mean", "best"])
+
+    # at most ``sample`` rows of three numbers
+    x = texts.select("doc_id", "text").mapInArrow(frugal(features), schema_with(texts.select("doc_id"), mean="double", best="double")).toArrow()
+    sent.destroy()
+    drop_stored(rows, counted)
+    at = {i: k for k, i in enumerate(x["doc_id"].to_pylist())}
+    pick = [at[i] for i in ids[held].tolist()]
+    both = np.stack((np.asarray(x["mean"]), np.asarray(x["best"])), 1)[pick]
+    slopes, shift = calibrate(both, y[held].astype(np.float64))
+    trim()
+    return ToxicityModel(table, slopes, shift)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """All columns of ``docs`` plus score and predicted (existing ones of these names are replaced).
 
-    Null and empty texts score as a text without any word.
+    Null and empty texts score as a text without any word; a score equal to
+    ``threshold`` is toxic. Repeated rows and null ids are scored like any
+    other row, very long texts whole; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     # plain values: a broadcast is unpickled where this package need not be installed
-    kept = docs.sparkSession.sparkContext.broadcast((model.table, model.slopes, model.shift))
+    kept = send(docs.sparkSession, (model.table, model.slopes, model.shift))
 
     def run(batches):
         own = ToxicityModel(*kept.value)
