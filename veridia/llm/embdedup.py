@@ -26,9 +26,9 @@ from .ann import usable
 from .common import drop_stored, store
 from .components import connected_components
 
-#: a pair's nearness in a block of 8 dimensions is a chance event once in a thousand pairs, in one
-#: of 16 once in a quarter million, so wider blocks leave far fewer candidates to check
-BLOCK_DIMS = 16
+#: every block compares most pairs of vectors that point everywhere, so few blocks mean few products;
+#: and pairs near by chance are one in a thousand in 8 dimensions, one in a quarter million in 16, none in 32
+BLOCK_DIMS = 32
 PIVOTS = 8
 TILE = 16384
 #: slack of the candidate steps against rounding; the final check has none
@@ -137,14 +137,18 @@ def right_pos(y: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every distinct row of (vec_id, embedding).
+    """vec_id, n_links, component_id and kept for every row of ``vectors``; further columns are left out.
 
     Unusable vectors (null, zero, with null or non-finite components) and those
     with a null id link with nothing and are their own component. Vectors of
     different lengths do not link. Equal vectors with different ids are linked
-    with each other; equal rows count once.
+    with each other. Repeated rows (of equal id and vector) count once and get
+    equal results; an id with several different vectors has a row for each, and
+    they count as different vectors. An empty table gives an empty one.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).distinct()
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
+    every = every.withColumn("ok", usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    rows = every.select("vec_id", "embedding").distinct()
     rows = rows.withColumn("ok", usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     good = rows.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"))
     good = store(good, "dups-vectors")
@@ -189,5 +193,5 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     total = links.groupBy("rep").agg(F.sum("n").alias("n"))
     reps = good.join(total, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(reps.withColumn("ok", F.lit(True)), ["ok", "embedding"], "left")
+    out = every.join(reps.withColumn("ok", F.lit(True)), ["ok", "embedding"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

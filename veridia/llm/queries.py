@@ -92,7 +92,7 @@ ORACLE_SQL = {
         n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
         SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(low.b, v.vec_id)) AS component_id,
                v.vec_id <= coalesce(low.b, v.vec_id) AS kept
-        FROM v LEFT JOIN low ON low.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
+        FROM embeddings v LEFT JOIN low ON low.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
     "op4_minhash_dedup": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
