@@ -2,7 +2,9 @@
 
 Writing is DataFrame work: records are text, so Spark's text writer makes the
 archives (its last line end closes each record), commits them and repeats lost
-tasks. Files hold at most ``records_per_file`` records.
+tasks. Records are written by classes of size, with fewer to a file the larger
+they are, so a file holds at most FILE_BYTES or one record. White space and
+control characters inside a url, which no header can hold, are left out.
 
 Reading splits every archive into ranges. A task finds all places in its range
 that look like a record start and emits candidate offset, successor offset and
@@ -22,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, frugal, new_path, store
+from .common import drop_path, frugal, mark, new_path, release, store
 
 #: payloads below this are never replaced by a revisit
 LEAST_REVISIT = 100
-RECORDS_PER_FILE = 4096
+#: bytes of an archive file that holds more than one record
+FILE_BYTES = 64 << 20
+#: largest records of each class
+CLASSES = (64 << 10, 1 << 20, None)
 #: bytes of an archive that one row of the reader covers
 RANGE = 4 << 20
 #: ranges overlap by as much at first; those with a header that is not closed within it are read again with more
@@ -65,12 +70,27 @@ def record_text(revisit, page_id, url, digest, refers_to, html, size) -> F.Colum
     return F.concat(head, F.when(revisit, "").otherwise(html), F.lit("\r\n\r"))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write one record per row of ``pages`` (page_id, url, html) to archives below ``path``."""
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write one record per row of ``pages`` (page_id, url, html) to archives below ``path``, a folder for each class of size."""
     rows = plan_records(pages)
     revisit = F.col("refers_to").isNotNull()
     text = record_text(revisit, *(F.col(c) for c in ("page_id", "url", "digest", "refers_to", "html", "bytes")))
-    rows.select(text.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
+    # a bound on a record's bytes: its fixed parts have less than 1 KiB
+    size = F.lit(1024) + F.coalesce(F.octet_length("url"), F.lit(0)) + F.when(revisit, 0).otherwise(F.col("bytes"))
+    plain = pages.select((F.coalesce(F.octet_length("url"), F.lit(0)) + F.coalesce(F.octet_length("html"), F.lit(0)) + 1024).alias("size"))
+    most, below = plain.agg(F.max("size").cast("long")).first()[0] or 0, 0
+    for i, limit in enumerate(CLASSES):
+        if i and most <= below:
+            break
+        part = rows if most <= (limit or most) and not i else rows.where((size > below) & (size <= limit) if limit else size > below)
+        per_file = max(1, file_bytes // limit) if limit else 1
+        part.select(text.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(f"{path}/{i}")
+        below = limit
+
+
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """file, length and content of all archives below ``path``."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length", "content")
 
 
 def header_of(data: bytes, at: int):
@@ -105,7 +125,7 @@ def range_exits(offsets: np.ndarray, nexts: np.ndarray, end: int) -> np.ndarray:
 
 def file_ranges(spark: SparkSession, path: str, span: int, overlap: int = HEADER) -> DataFrame:
     """file, length, start and bytes (with ``overlap`` behind) of every range of every archive."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", "content")
+    files = archives(spark, path)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("length") - 1), F.lit(span).cast("long")))
     cut = F.substring("content", (F.col("start") + 1).cast("int"), F.lit(min(span + overlap, (1 << 31) - 1)))
     return files.where("length > 0").select("file", "length", "content", starts.alias("start")).select("file", "length", "start", cut.alias("part"))
@@ -185,12 +205,12 @@ def read_archives(spark: SparkSession, path: str, span: int = RANGE) -> DataFram
     found = all_candidates(spark, path, span)
     start = (F.col("offset") - F.col("offset") % span).alias("start")
     reached = entries(found)
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    files = archives(spark, path).select("file", "length").where("length > 0")
     broken = files.join(reached, (files["file"] == reached["file"]) & (files["length"] == reached["offset"]), "left_anti").first()
     if broken:
         raise ValueError(f"the records of {broken['file']} stop before its end")
     entry = reached.select("file", start, "offset").groupBy("file", "start").agg(F.min("offset").alias("entry"))
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", "content")
+    files = archives(spark, path)
     cut = F.substring("content", (F.col("entry") + 1).cast("int"), F.col("take").cast("int"))
     last = found.groupBy("file", "start").agg(F.max("next").alias("last"))
     todo = entry.join(last, ["file", "start"]).withColumn("take", F.greatest(F.col("last"), F.col("start") + span) - F.col("entry"))
@@ -241,7 +261,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path)
+    before = mark()
     got = store(read_archives(spark, path).drop("payload", "file", "offset", "url"), "warc-read")
+    release(spark, before, got)
     drop_path(spark, path)
     read, wanted = got.count(), pages.count()
     if read != wanted:
