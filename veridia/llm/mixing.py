@@ -16,9 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import store
+
 WORD = r"[^\x20\x09-\x0D]+"
-#: hash buckets of the documents of one source and length
-SLOTS = 64
+#: documents of one source and length are chosen in hash buckets of about this many rows, were all rows alike
+SLOT_ROWS = 50_000
+#: sources beyond this number are an error: their sizes are held on the driver
+MOST_SOURCES = 1_000_000
 #: budgets up to this go to the dynamic program
 DP_BUDGET = 1 << 16
 WEIGHTS = (5, 2, 1)
@@ -67,24 +71,32 @@ def fit_budget(sizes: list[int], counts: list[int], budget: int) -> list[int]:
         if more > 0:
             take[i] += more
             rest -= more * sizes[i]
-    reach, steps, mask = 1, [], (1 << (rest + 1)) - 1
-    for i in sorted(order, key=lambda i: (sizes[i] > rest, -min(counts[i] - take[i], 8), sizes[i])):
-        left, power = counts[i] - take[i], 1
-        if sizes[i] > rest or reach >> rest & 1:
-            break
-        left = min(left, rest // sizes[i])
-        while left > 0 and not reach >> rest & 1:
+    for i, more in fill([(i, sizes[i], counts[i] - take[i]) for i in order], rest).items():
+        take[i] += more
+    if budget <= DP_BUDGET and sum(s * t for s, t in zip(sizes, take)) < budget:  # small enough to start from nothing
+        best = fill([(i, sizes[i], counts[i]) for i in order], budget)
+        if sum(sizes[i] * k for i, k in best.items()) > sum(s * t for s, t in zip(sizes, take)):
+            return [best.get(i, 0) for i in range(len(sizes))]
+    return take
+
+
+def fill(items: list[tuple[int, int, int]], budget: int) -> dict[int, int]:
+    """How many of each (name, size, count) make the largest sum up to ``budget``: bounded knapsack on bit sets of sums."""
+    reach, steps, mask = 1, [], (1 << (budget + 1)) - 1
+    for i, size, count in sorted(items, key=lambda x: (-min(x[2], 8), x[1])):
+        left, power = min(count, budget // size), 1
+        while left > 0 and not reach >> budget & 1:
             k = min(power, left)
-            steps.append((i, k, reach))
-            reach |= (reach << (k * sizes[i])) & mask
+            steps.append((i, size, k, reach))
+            reach |= (reach << (k * size)) & mask
             left -= k
             power *= 2
-    at = reach.bit_length() - 1
-    for i, k, before in reversed(steps):
+    at, out = reach.bit_length() - 1, {}
+    for i, size, k, before in reversed(steps):
         if not before >> at & 1:
-            take[i] += k
-            at -= k * sizes[i]
-    return take
+            out[i] = out.get(i, 0) + k
+            at -= k * size
+    return out
 
 
 def mix_sources(docs: DataFrame, seed: int = 13, weights=WEIGHTS, share: float = 1.5) -> DataFrame:
@@ -95,19 +107,22 @@ def mix_sources(docs: DataFrame, seed: int = 13, weights=WEIGHTS, share: float =
     twice. The choice depends on ``seed``, doc_id, size and source alone.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"))
+    rows = store(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
     return mix_sized(rows, seed, weights, share)
 
 
 def mix_sized(rows: DataFrame, seed: int = 13, weights=WEIGHTS, share: float = 1.5) -> DataFrame:
-    """As mix_sources, for rows with a size column; further columns are carried along."""
+    """As mix_sources, for a stored table with a size column; further columns are carried along."""
+    n_slots = max(64, -(-rows.count() // SLOT_ROWS))
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    rows = rows.withColumn("_slot", F.pmod("_h", F.lit(SLOTS))).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    rows = rows.withColumn("_slot", F.pmod("_h", F.lit(n_slots))).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     slots = rows.groupBy("_s", "size", "_slot").agg(F.count(F.lit(1)).alias("n"))
     lengths = slots.groupBy("_s", "size").agg(F.sum("n").alias("n"))
     # one row per source: the number of sources, not of documents
     per_source = lengths.groupBy("_s").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    sizes = {r["_s"]: int(r["source_size"] or 0) for r in per_source.collect()}
+    sizes = {r["_s"]: int(r["source_size"] or 0) for r in per_source.limit(MOST_SOURCES + 1).collect()}
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     goal = {("s" + s if s is not None else ""): t for s, t in targets({(k[1:] if k else None): v for k, v in sizes.items()}, weights, share).items()}
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -133,6 +148,6 @@ def mix_sized(rows: DataFrame, seed: int = 13, weights=WEIGHTS, share: float = 1
 def mix_documents(docs: DataFrame, seed: int = 13, weights=WEIGHTS, share: float = 1.5) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, text and any others), each as often as the mix takes it."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.struct(*docs.columns).alias("_row"))
+    rows = store(docs.select("doc_id", "source", size.alias("size"), F.struct(*docs.columns).alias("_row")), "mix-rows")
     taken = mix_sized(rows, seed, weights, share).where("copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
