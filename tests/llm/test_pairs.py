@@ -107,7 +107,7 @@ def vectors():
 
 def test_embedding_dedup_matches_brute_force(spark):
     rows = vectors()
-    df = spark.createDataFrame(rows + rows[:1], "vec_id long, embedding array<float>").selectExpr("*", "7 as label", "1 as n")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "7 as label", "1 as n")
     got = {r["vec_id"]: r for r in embdedup.near_duplicates(df).collect()}
     good = {i: np.array(v, float) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = [(a, b) for a in good for b in good if a < b and good[a] @ good[b] / np.sqrt((good[a] @ good[a]) * (good[b] @ good[b])) >= 0.9]
@@ -147,10 +147,55 @@ def test_nearest_neighbours_of_few(spark, rows):
     assert ann.search(df, df).count() == 0
 
 
-def test_graph_search_finds_the_nearest_centroid():
+def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(2)
-    g = ann.CentroidGraph(rng.standard_normal((256, 16)))
+    c = rng.standard_normal((256, 16))
+    g = ann.CentroidGraph(c, ann.graph_links(c))
     q = rng.standard_normal((100, 16))
-    ids, _ = g.search(q, 32)
-    best = ((q[:, None] - g.c[None]) ** 2).sum(2).argmin(1)
-    assert (ids[:, 0] == best).mean() > 0.97
+    d = ((q[:, None] - c[None]) ** 2).sum(2)
+    ids, dist = g.beam(q, 32)
+    assert (ids[:, 0] == d.argmin(1)).mean() > 0.97 and np.allclose(dist[:, 0], np.take_along_axis(d, ids[:, :1], 1)[:, 0])
+    row, found = g.within(q, 0.3, width=8)
+    limit = np.sort(np.sqrt(d), 1)[:, 7] * 1.3  # the eighth: half the root of 256
+    want = {(i, j) for i in range(100) for j in range(256) if np.sqrt(d[i, j]) <= limit[i]}
+    got = set(zip(row.tolist(), found.tolist()))
+    assert got <= want and len(got) > 0.97 * len(want)
+
+
+def test_nearest_neighbours_in_small_blocks_ties_repeats_and_other_lengths(spark):
+    rng = np.random.default_rng(4)
+    x = [[float(v) for v in r] for r in np.float32(rng.standard_normal((400, 8)))]
+    rows = [(i, v) for i, v in enumerate(x)] + [(1000 + i, x[7]) for i in range(15)] + [(3, x[3])] * 3 + [(5, x[9])] + [(2000 + i, [float(i), 1.0]) for i in range(4)] + [(None, x[0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as list", "'a' as v", "2 as shard")
+    few, whole = (ann.search(df, df.where("vec_id in (7, 3, 5, 2000)"), k=12, ratio=50.0, block_rows=n).orderBy("query_id", "rank").collect() for n in (20, 4096))
+    assert few == whole
+    by = {q: [(r["vec_id"], r["score"]) for r in whole if r["query_id"] == q] for q in (7, 3, 5, 2000)}
+    assert by[7] == [(5, by[7][0][1])] + [(1000 + i, 0.0) for i in range(11)] or [v for v, _ in by[7]] == [1000 + i for i in range(12)]
+    assert [v for v, _ in by[2000]] == [2001, 2002, 2003]
+    assert by[5][0] == (9, 0.0) and all(v != 5 for v, _ in by[5]) and len(by[3]) == 12
+    vec = {}
+    for i, v in rows:
+        if i is not None and len(v) == 8:
+            vec.setdefault(i, []).append(np.array(v))
+    for q in (7, 3, 5):
+        best = sorted((min(np.linalg.norm(a - b) for a in vec[q] for b in vec[i]), i) for i in vec if i != q)[:12]
+        assert [v for v, _ in by[q]] == [i for _, i in best] and all(abs(s - d) < 1e-12 for (_, s), (d, _) in zip(by[q], best))
+
+
+def test_embedding_dedup_of_repeats_null_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as rep", "2 as w", "3 as n_links", "true as ok", "4 as component_id")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embdedup.near_duplicates(df).collect())
+    assert got == [(0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (3, 2, 1, False), (4, 0, 4, True)]
+
+
+def test_minhash_with_clashing_columns_and_a_large_bucket_without_links(spark):
+    rng = np.random.default_rng(3)
+    head = " ".join(f"h{i}" for i in range(40))
+    texts = [head + " " + " ".join(f"t{i}_{j}" for j in range(14)) for i in range(300)]  # they share bands, yet no two link
+    docs = [(i, t) for i, t in enumerate(texts)] + [(900, texts[5])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as id", "2 as key", "3 as bands", "4 as n_shingles", "'x' as component_id", "5 as rep", "6 as kept")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    s, links = brute_links(docs)
+    want = roots(s, links)
+    assert links == [(5, 900)] and got == {i: (len(s[i]), want[i], want[i] == i) for i in s} and rng is not None
