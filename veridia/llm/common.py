@@ -100,6 +100,18 @@ def trim() -> None:
         pass
 
 
+def few_arenas() -> None:
+    """Keep this process's freed memory in one piece: few allocation arenas, large arrays apart."""
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-8, 2)  # arenas
+        libc.mallopt(-3, 1 << 20)  # bytes from which an allocation is a mapping of its own
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``docs`` does not have in any spelling."""
     taken = {c.lower() for c in docs.columns}
@@ -136,6 +148,7 @@ def frugal(run):
     """
 
     def wrapped(batches):
+        few_arenas()
         yield from run(batches)
         trim()
 
@@ -186,6 +199,22 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: bytes of text that operators handle at once, but for a single longer text
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch, text, most_rows: int = 256, most_bytes: int = SLICE_BYTES):
+    """Slices of a batch whose texts (an array of it) have at most ``most_bytes`` in all, or of one row."""
+    if len(text):
+        _, offsets = text_buffers(text)
+        at = 0
+        while at < len(text):
+            to = int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1
+            to = min(max(to, at + 1), at + most_rows, len(text))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def slabs(raw: np.ndarray, offsets: np.ndarray):
     """(first row, bytes, row offsets) pieces of at most about SLAB bytes.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, frugal, mix, schema_with, small_batches, store, word_hashes
+from .common import drop_stored, frugal, mix, schema_with, slices, small_batches, store, word_hashes
 from .components import connected_components
 
 WORDS = 5
@@ -122,8 +122,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch, batch.column(1)):
                 sets = shingle_sets(some.column(1))
                 keys, bands, sketches = [], [], []
                 for s in sets:
@@ -149,8 +148,7 @@ def full_sets(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch, batch.column(1)):
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in shingle_sets(some.column(1))], pa.binary())], names=["id", "items"])
 
     return texts.mapInArrow(frugal(run), schema_with(texts.select("id"), items="binary"))

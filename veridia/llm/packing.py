@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import frugal, small_batches
+from .common import frugal, send, slices, small_batches
 
 #: ids held in memory before a block is packed and written
 BLOCK_TOKENS = 1 << 21
@@ -105,14 +105,16 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id
     """Packed rows of all documents; ids and position_ids are little-endian int32.
 
     Every document ends with ``end_id``; a null or empty text is that id alone,
-    a null doc_id stays null. Packing is done per block of ``BLOCK_TOKENS`` ids
+    a null doc_id stays null, repeated rows are documents of their own, further
+    columns are left out, an empty table gives an empty one. Padding (which may
+    equal ``end_id``) lies behind ``n_tokens``. Packing is done per block of ``BLOCK_TOKENS`` ids
     of a task's input, so memory is bounded and a lost task is simply run again.
     The rank file is read on the driver and broadcast (its size is fixed by the
     vocabulary).
     """
     small_batches(docs.sparkSession)
     with open(tokenizer_path, "rb") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+        raw = send(docs.sparkSession, f.read())
 
     def run(batches):
         import base64
@@ -141,8 +143,7 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id
                 )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
+            for some in slices(batch, batch.column(1), 64):
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 for d, t in zip(some.column(0).to_pylist(), encode(texts)):
                     ids.append(d)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, frugal, mix, schema_with, send, small_batches, store, texts, trim, unused, word_hashes
+from .common import drop_stored, frugal, mix, schema_with, send, slices, small_batches, store, texts, trim, unused, word_hashes
 
 ORDER = 5
 PAD = ORDER - 1
@@ -246,9 +246,11 @@ def log_probabilities(codes: np.ndarray, at: np.ndarray, table: GramTable) -> np
 
 def repeats(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """How many words of each text equal the word before them, and how many have a word before them."""
-    if len(column) > 64:  # bounds the arrays of words
-        parts = [repeats(column.slice(at, 64)) for at in range(0, len(column), 64)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    parts = [repeats_of(some) for some in slices(column, column)]  # bounds the arrays of words
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def repeats_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words, counts = word_hashes(column)
     same = np.zeros(len(words) + 1, np.int64)
     same[1:-1] = words[1:] == words[:-1]

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import frugal, small_batches
+from .common import frugal, send, slices, small_batches, trim
 
 MARK = "▁"
 # --- fixed values: piece kinds of the model format
@@ -220,21 +220,25 @@ class Backend:
                 raise AssertionError(f"decoding differs on {text[:80]!r}: {a[:80]!r} and {b[:80]!r}")
 
 
-#: texts encoded at once; bounds the encodings held in memory
-SLICE = 96
+#: texts, and bytes of them, encoded at once; bounds the encodings held in memory
+SLICE, SLICE_BYTES = 96, 1 << 18
 
 
 def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_ok for every row of ``docs`` (doc_id, text).
 
-    Null and empty texts give an empty list. ``decoded_ok`` says that decoding
-    the ids gives the normalised text back. The first texts of every task
-    are also compared with the original library; a difference fails the job. The model file, of fixed size, is read on the driver and broadcast.
+    Null and empty texts give an empty list; repeated rows and null ids are
+    encoded like any other row, very long texts whole; further columns are left
+    out; an empty table gives an empty one. ``decoded_ok`` says that decoding the
+    ids gives the normalised text back. The first texts of every task are also
+    compared with the original library; a difference fails the job. The model
+    file, of fixed size, is read on the driver and broadcast.
     """
     small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         data = f.read()
-    raw = docs.sparkSession.sparkContext.broadcast((data, Backend(data).tok.to_str()))
+    raw = send(docs.sparkSession, (data, Backend(data).tok.to_str()))
+    trim()
 
     def run(batches):
         import os
@@ -243,8 +247,7 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> Data
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         backend, checked = Backend(raw.value[0], False, raw.value[1]), False
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                some = batch.slice(at, SLICE)
+            for some in slices(batch, batch.column(1), SLICE, SLICE_BYTES):
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 if not checked:
                     backend.verify(texts)

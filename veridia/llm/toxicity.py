@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_stored, frugal, lower, mix, powers, schema_with, send, slabs, small_batches, store, text_buffers, trim, word_bounds
+from .common import SPACE, drop_stored, frugal, lower, mix, powers, schema_with, send, slabs, slices, small_batches, store, text_buffers, trim, word_bounds
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 WINDOW = 256
 #: bags with fewer words average over this many
 LEAST_WORDS = 24
-#: rows scored at once
-SLICE = 256
 
 
 def gram_events(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +105,7 @@ class ToxicityModel:
     shift: float
 
     def features(self, column: pa.Array) -> np.ndarray:
-        parts = [bag_values(column.slice(i, SLICE), self.table) for i in range(0, len(column), SLICE)]
+        parts = [bag_values(some, self.table) for some in slices(column, column)]
         return np.concatenate(parts) if parts else np.zeros((0, 2))
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -280,8 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int = 2_0
 
     def count(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                some = batch.slice(at, SLICE)
+            for some in slices(batch, batch.column(1)):
                 length, name, n = zip(*counted_words(some.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(2), pa.array(length, pa.int64()), pa.array([len(x) for x in name], pa.int64()), pa.array([x.tobytes() for x in name], pa.binary()), pa.array([x.tobytes() for x in n], pa.binary())],
@@ -316,8 +313,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int = 2_0
 
     def spell(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                found = list(buckets_of(batch.column(0).slice(at, SLICE), sent.value))
+            for some in slices(batch, batch.column(0)):
+                found = list(buckets_of(some.column(0), sent.value))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in found], np.uint64).view(np.int64)), pa.array([b.tobytes() for _, b in found], pa.binary())], names=["name", "buckets"])
 
     spelled = texts.select("text").mapInArrow(frugal(spell), "name long, buckets binary").groupBy("name").agg(F.min("buckets").alias("buckets")).toArrow()
