@@ -73,26 +73,89 @@ def run_outcome(passed: Column, family: Column, category: Column, stage: Column
     return F.struct(outcome.alias("outcome"), F.when(truthy(passed), "passed").otherwise(detail).alias("detail"))
 
 
-def raw_outcome(passed: Column, compiled: Column, stage: Column, log: Column) -> Column:
-    """struct(outcome, detail) of a raw row of the model pipelines: its stage decides."""
-    stage = F.coalesce(stage, F.lit(""))
+def pair(outcome, detail) -> Column:
+    """struct(outcome, detail) of texts or columns."""
+    return F.struct((F.lit(outcome) if isinstance(outcome, str) else outcome).alias("outcome"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
+
+
+def raw_outcome(passed: Column, compiled: Column, stage: Column, log: Column, error_type: Column, error_code: Column) -> Column:
+    """struct(outcome, detail) of a raw row of the model pipelines: an error of the model comes first, then its stage decides."""
+    stage, error_type, code = (F.coalesce(c, F.lit("")) for c in (stage, error_type, error_code.cast("string")))
     kind = failure_class(log, stage)
-    pair = lambda o, d: F.struct((F.lit(o) if isinstance(o, str) else o).alias("outcome"), (F.lit(d) if isinstance(d, str) else d).alias("detail"))
-    model = pair("model_generation_failure", F.trim(F.concat(F.lit("model_error "), F.regexp_replace(stage, "model_error_?", ""))))
+    told = F.when(code.isin("", "0"), F.replace(stage, F.lit("model_error_"), F.lit(""))).otherwise(code)
+    model = F.trim(F.concat_ws(" ", F.when(error_type == "", "model_error").otherwise(error_type), told))
     return (
-        F.when(stage.rlike("^model_error(_|$)"), model).when(truthy(passed), pair("passed", "generated test compiled and executed"))
+        F.when(stage.rlike("^model_error(?:_|$)") | (error_type != "") | ~code.isin("", "0"), pair("model_generation_failure", model)).when(truthy(passed), pair("passed", "generated test compiled and executed"))
         .when(stage.isin("compile_timeout", "execute_timeout"), pair("timeout_or_hang", stage)).when(stage.isin("compile", "execute"), pair(kind["family"], kind["category"]))
         .when(F.coalesce(~compiled, F.lit(False)), pair("compile_failure", "compile_passed is false")).otherwise(pair("unknown_failure", F.concat(F.lit("error_stage="), stage)))
     )
 
 
+def tool_outcome(mutation_status: Column, mutation_stage: Column, skip_reason: Column, extreme_status: Column) -> Column:
+    """struct(outcome, detail) of a row of the test-generation tool, which reports by its mutation evidence."""
+    status, stage, skip, extreme = (F.coalesce(c, F.lit("")) for c in (mutation_status, mutation_stage, skip_reason, extreme_status))
+    return (
+        F.when(status.isin("passed", "no_mutants") & extreme.isin("", "passed"), pair("passed", "Panta generation and mutation evidence available"))
+        .when((stage == "panta_generation") | skip.startswith("panta_"), pair("panta_generation_failure", F.when(skip == "", stage).otherwise(skip)))
+        .when((status == "failed") | ~extreme.isin("", "passed"), pair("passed", "Panta generated a test; later mutation evidence failed or was skipped"))
+        .otherwise(pair("unknown_failure", F.concat(F.lit("mutation_status="), status, F.lit(", panta_skip_reason="), skip)))
+    )
+
+
+def is_placeholder(size: Column, preview: Column) -> Column:
+    """Whether a generated test is the tool's stub: at most 300 bytes with its marker."""
+    return F.coalesce((size <= 300) & preview.contains("testPlaceHolder"), F.lit(False))
+
+
+# --- fixed values: kinds of state writes and of dependencies in order of precedence
+STATE_RULES = (
+    ("setter_or_set_call", r"\bset[A-Z]\w*\s*\(|\.set\s*\("), ("collection_mutation", r"\.(?:add|put|remove|clear)\s*\("), ("increment_or_compound_update", r"\+\+|--|\+=|-="),
+    ("field_assignment", r"\b(?:this\.|[A-Z][A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*\.)?\w+\s*="),
+)
+DEPENDENCY_RULES = (
+    ("filesystem_or_stream", r"\b(?:Files|FileInputStream|FileOutputStream|InputStreamReader|OutputStreamWriter|FileReader|FileWriter|BufferedReader|BufferedWriter|InputStream|OutputStream|Reader|Writer)\b"),
+    ("network_or_http", r"\b(?:URL|URI|Socket|HttpClient|RestTemplate|WebClient|URLConnection|HttpURLConnection)\b|\.(?:connect|getInputStream|getOutputStream|getResponseCode)\s*\(|\b\w+\.(?:send|execute)\s*\("),
+)
+
+
+def state_kind(snippet: Column) -> Column:
+    return ordered_class(snippet, STATE_RULES, "other_state_write")
+
+
+def dependency_kind(snippet: Column) -> Column:
+    return ordered_class(snippet, DEPENDENCY_RULES, "other_dependency")
+
+
+def unwritten_status(rule: Column) -> Column:
+    """Status of a mutant that was not written, by the rule that refused it."""
+    rule = F.coalesce(rule, F.lit(""))
+    never = rule.isin("replacement_constructor_incompatible", "replacement_not_assignable_to_declared_type")
+    return F.when(never, "not_generated").when(rule.rlike("out_of_scope|flows_to_computation_or_branch|hazard|not_assignable"), "out_of_scope").otherwise("not_generated")
+
+
+def mutant_tags(flags: dict[str, Column], status: Column) -> Column:
+    """Tags of a mutant: its flags in a fixed order, then what its status tells."""
+    named = [F.when(truthy(flags[n]), n) for n in ("degenerate_null", "unobservable_return_state", "subsumed_by_broad_original", "downstream_flow_risk") if n in flags]
+    return F.array_compact(F.array(*named, F.when(status == "survived_path_changed", "path_coverage_changed"), F.when(status == "coverage_unverified", "coverage_unverified")))
+
+
+def skipped_evidence(executed: Column, private: Column, source: Column) -> Column:
+    """struct(status, reason) of rows whose evidence is not collected; null for those where it is."""
+    two = lambda s, r: F.struct(F.lit(s).alias("status"), F.lit(r).alias("reason"))
+    return (
+        F.when(~truthy(executed), two("skipped", "original_generated_test_not_executed")).when(source.isNull(), two("skipped", "missing_subject_java"))
+        .when(truthy(private), two("skipped", "private_target_method"))
+    )
+
+
 #: display names of models (fixed values)
 MODEL_NAMES = {"RedHatAI/gemma-4-31B-it-FP8-Dynamic": "Gemma-4-31B", "gpt-5.4": "GPT-5.4"}
 
 
 def short_model(model: Column) -> Column:
-    """Display name, else the last part of a model's path-like name; 'unknown' where there is none."""
-    last = F.coalesce(F.nullif(F.element_at(F.split(model, "/"), -1), F.lit("")), F.lit("unknown"))
+    """Display name, else the last part of a model's path-like name; 'unknown-model' where there is none."""
+    model = F.coalesce(F.nullif(model, F.lit("")), F.lit("unknown-model"))
+    last = F.element_at(F.split(model, "/"), -1)
     out = None
     for long, short in MODEL_NAMES.items():
         out = F.when(model == long, short) if out is None else out.when(model == long, short)
@@ -117,22 +180,8 @@ def variant_score(outcome: Column, incidental: str = "zero") -> Column:
     return out.when(outcome == "killed_incidentally", 0.0) if incidental == "zero" else out
 
 
-def dominant_status(statuses: Column) -> Column:
-    """Of an item's unrepresented statuses, the one that names it."""
-    out = None
-    for name in NOT_REPRESENTED[:-1]:
-        hit = F.array_contains(statuses, name)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("not_generated")
-
-
-def item_outcome(outcomes: Column) -> Column:
-    """Of an item's represented outcomes, the strongest."""
-    out = None
-    for name in ("killed_by_oracle", "killed_incidentally", "survived_path_changed", "survived"):
-        hit = F.array_contains(outcomes, name)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+#: represented outcomes of an item's variants, the strongest first (fixed values)
+ITEM_OUTCOMES = ("killed_by_oracle", "killed_incidentally", "survived_path_changed", "survived")
 
 
 #: labels of the oracle scores 0, 1 and 2 (fixed values)
@@ -211,15 +260,33 @@ def kill_class(log: Column, returncode: Column | None = None) -> Column:
     )
 
 
-def mutator_categories(mutator: Column, description: Column) -> Column:
-    """Categories of a mutation operator by its name and description, in name order."""
+# --- fixed values: what source lines around a mutant tell
+BRANCH_CONTEXT = r"\bif\s*\(|\belse\b|\bswitch\s*\(|\bcase\s+|\bdefault\s*:|\bfor\s*\(|\bwhile\s*\(|\btry\s*\{|\bcatch\s*\(|\bthrow\b|\bthrows\b|\?"
+EXCEPTION_CONTEXT = r"\bthrow\b|\bthrows\b|\bcatch\s*\(|\b(?:Exception|Error|Throwable)\b"
+
+
+def context_lines(source: Column, line: Column, radius: int = 2) -> Column:
+    """A line of a source with those around it; empty outside it."""
+    lines = F.split(source, r"\r?\n")
+    first = F.greatest(F.lit(1), line - radius)
+    inside = (line >= 1) & (line <= F.size(lines))
+    return F.when(inside, F.array_join(F.slice(lines, first, F.greatest(F.lit(0), line + radius - first + 1)), "\n")).otherwise(F.lit(""))
+
+
+def mutator_categories(mutator: Column, description: Column, context: Column | None = None, outside: str = "", boundary: str = "") -> Column:
+    """Categories of a mutation operator by its name and description, and by the lines around it, in name order.
+
+    ``outside`` and ``boundary`` are the patterns of dependencies and of boundary
+    signals in those lines.
+    """
     m, d = F.lower(F.coalesce(mutator, F.lit(""))), F.lower(F.coalesce(description, F.lit("")))
     has = lambda col, *words: col.rlike("|".join(words))
+    near = lambda p: F.coalesce(context.rlike("(?m)" + p), F.lit(False)) if context is not None and p else F.lit(False)
     returns = has(m, "return") | has(d, "return")
-    boundary = returns & (has(m, "null", "empty") | has(d, "null", "empty")) | has(m, "mathmutator", "increments") | has(d, "replaced integer", "changed increment")
+    edge = returns & (has(m, "null", "empty") | has(d, "null", "empty")) | has(m, "mathmutator", "increments") | has(d, "replaced integer", "changed increment")
     return F.array_compact(F.array(
-        F.when(boundary, "boundary_value"), F.when(has(m, "negateconditionals", "conditionalsboundary") | has(d, "conditional"), "branch_condition"),
-        F.when(has(m, "constructorcall", "nonvoidmethodcall"), "interaction_dependency"), F.when(returns, "weak_oracle"),
+        F.when(edge | near(boundary), "boundary_value"), F.when(has(m, "negateconditionals", "conditionalsboundary") | has(d, "conditional") | near(BRANCH_CONTEXT), "branch_condition"),
+        F.when(near(EXCEPTION_CONTEXT), "exception_path"), F.when(has(m, "constructorcall", "nonvoidmethodcall") | near(outside), "interaction_dependency"), F.when(returns, "weak_oracle"),
     ))
 
 

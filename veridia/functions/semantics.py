@@ -82,13 +82,48 @@ def fixed_order(value: Column, names) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), value), F.lit(0)), F.lit(1 << 30))
 
 
+def three_decimals(value: Column) -> Column:
+    """A double with three decimals, rounded by its exact binary value, and ties of that to even."""
+    v = value.cast("double")
+    scaled = F.abs(v) * (1 << 30)  # by a power of two, hence exact
+    whole = F.floor(scaled)
+    units, rest = (whole * 1000).cast("long"), (scaled - whole) * 1000
+    n, over = F.shiftright(units, 30), F.pmod(units, F.lit(1 << 30)) - (1 << 29) + rest  # what lies above the half
+    up = (over > 0) | (over == 0) & (n % 2 == 1)
+    n = n + up.cast("long")
+    text = F.concat(F.when(v < 0, "-").otherwise(""), F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    return F.when(F.abs(v) < 1 << 20, text).otherwise(F.format_string("%.3f", v))
+
+
 def fmt(value, missing: str = "N/A") -> Column:
     """A number with three decimals, or ``missing``."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.when(value.isNull(), F.lit(missing)).otherwise(F.format_string("%.3f", value.cast("double")))
+    return F.when(value.isNull(), F.lit(missing)).otherwise(three_decimals(value))
 
 
 def fmt_least(value, n, least: int = 10) -> Column:
     """As fmt, but 'suppressed' where fewer than ``least`` items stand behind the value."""
     n = F.col(n) if isinstance(n, str) else n
     return F.when(F.coalesce(n, F.lit(0)) < least, F.lit("suppressed")).otherwise(fmt(value))
+
+
+def percent(top, bottom) -> Column:
+    """top / bottom with three decimals; blank where bottom is 0."""
+    top, bottom = (F.col(x) if isinstance(x, str) else x for x in (top, bottom))
+    return F.when(bottom == 0, F.lit("")).otherwise(three_decimals(ratio(top, bottom)))
+
+
+def bucket_chain(rows: DataFrame, own: str = "complexity_bucket", task: str = "task") -> Column:
+    """A row's complexity bucket: its own, else its task's split, data set or bucket."""
+    fields = {f.name for f in rows.schema[task].dataType.fields} if task in rows.columns else set()
+    return bucket_of(F.col(own), *[F.col(f"{task}.{n}") for n in ("v2_primary_split", "dataset", "complexity_bucket") if n in fields])
+
+
+def prompt_rank(prompt: Column, order) -> Column:
+    """Sort key of a prompt: its place in a fixed list, unknown ones behind it by name."""
+    return F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), prompt), F.lit(0)), F.lit(len(order) + 1)).alias("place"), prompt.alias("name"))
+
+
+def row_keys(rows: DataFrame, *names: str) -> Column:
+    """A row's key of several parts, where null reads as an empty text."""
+    return F.struct(*[F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names])

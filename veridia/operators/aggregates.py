@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import NON_REPRESENTABLE, PRIMARY_CONSTRUCTS, control_flow_reason, dominant_status, item_outcome, variant_score
+from ..functions.classify import ITEM_OUTCOMES, NON_REPRESENTABLE, NOT_REPRESENTED, PRIMARY_CONSTRUCTS, control_flow_reason, variant_score
 from ..functions.semantics import count_where, group_key, known_or, not_in, ratio, total, truthy
 
 
@@ -149,11 +149,12 @@ def variants_to_items(variants: DataFrame, keys: list[str], incidental: str = "z
     s = F.when(own & ~truthy("sensitivity_only"), variant_score(F.col("outcome"), incidental))
     out = variants.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("variants"), count_where(own).alias("represented_variants"), F.count(s).alias("scored_variants"), F.avg(s).alias("score"),
-        F.max(s).alias("any_killed"), F.min(s).alias("all_killed"),
-        F.collect_set(F.when(own, F.col("outcome"))).alias("_o"), F.collect_set(F.when(~own, F.coalesce("outcome", "status"))).alias("_s"),
+        F.max(s).alias("any_killed"), F.min(s).alias("all_killed"), *[F.bool_or(own & (F.col("outcome") == o)).alias(f"_o{i}") for i, o in enumerate(ITEM_OUTCOMES)],
+        *[F.bool_or(~own & (F.coalesce("outcome", "status") == o)).alias(f"_s{i}") for i, o in enumerate(NOT_REPRESENTED)],
     )
-    outcome = F.when(F.col("represented_variants") > 0, item_outcome(F.col("_o"))).otherwise(dominant_status(F.col("_s")))
-    return out.withColumn("outcome", outcome).withColumn("represented", F.col("represented_variants") > 0).drop("_o", "_s")
+    first = lambda names, p: F.coalesce(*[F.when(F.col(f"_{p}{i}"), F.lit(n)) for i, n in enumerate(names)])
+    outcome = F.when(F.col("represented_variants") > 0, first(ITEM_OUTCOMES, "o")).otherwise(F.coalesce(first(NOT_REPRESENTED, "s"), F.lit("not_generated")))
+    return out.withColumn("outcome", outcome).withColumn("represented", F.col("represented_variants") > 0).drop(*[c for c in out.columns if c.startswith(("_o", "_s"))])
 
 
 def control_flow_items(variants: DataFrame, keys: list[str]) -> DataFrame:

@@ -23,7 +23,12 @@ def compare_cohorts(treatment: DataFrame, control: DataFrame, keys: list[str]) -
     are aggregated in one pass, so the shuffle carries one partial row per key.
     """
     both = treatment.select(*keys, "numerator", "denominator", F.lit(True).alias("_t")).unionByName(control.select(*keys, "numerator", "denominator", F.lit(False).alias("_t")))
-    side = lambda of, c: total(F.when(F.col("_t") == of, F.col(c)))
+    return compare_tagged(both, "_t", keys)
+
+
+def compare_tagged(both: DataFrame, tag: str, keys: list[str]) -> DataFrame:
+    """As compare_cohorts, for one table whose flag ``tag`` marks the treatment: one scan, one aggregate."""
+    side = lambda of, c: total(F.when(F.col(tag) == of, F.col(c)))
     out = both.groupBy(*keys).agg(*[side(of, c).cast(kind).alias(f"{name}_{c}") for of, name in ((True, "treatment"), (False, "control")) for c, kind in (("numerator", "double"), ("denominator", "long"))])
     t, c = ratio("treatment_numerator", "treatment_denominator"), ratio("control_numerator", "control_denominator")
     return out.select(*keys, "treatment_numerator", "treatment_denominator", t.alias("treatment_score"), "control_numerator", "control_denominator", c.alias("control_score"), (t - c).alias("treatment_minus_control"))
@@ -36,6 +41,52 @@ def resume(todo: DataFrame, done: DataFrame, keys: list[str], version: str | Non
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def resume_with(todo: DataFrame, done: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """All rows: those done by this collector version as they are, the others marked to be processed."""
+    last = done.where(F.col("collector_version") == version).select(*keys).distinct().withColumn("_d", F.lit(True))
+    return todo.join(last, keys, "left").withColumn("process", F.col("_d").isNull()).drop("_d")
+
+
+def prior_selected(items: DataFrame, prior: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Items that an earlier run selected, with its columns; null keys match null keys."""
+    p = prior.select(*[F.col(k).alias(f"_p_{k}") for k in keys], *[F.col(c).alias(f"prior_{c}") for c in columns]).dropDuplicates([f"_p_{k}" for k in keys])
+    on = None
+    for k in keys:
+        same = items[k].eqNullSafe(p[f"_p_{k}"])
+        on = same if on is None else on & same
+    return items.join(p, on).drop(*[f"_p_{k}" for k in keys])
+
+
+def missing_configurations(found: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Expected configurations that no row has, and found ones that were not expected."""
+    a, b = expected.select(*keys).distinct(), found.select(*keys).distinct()
+    return a.join(b, keys, "left_anti").withColumn("problem", F.lit("missing")).unionByName(b.join(a, keys, "left_anti").withColumn("problem", F.lit("unexpected")))
+
+
+def provenance_mismatches(rows: DataFrame, tasks: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key and problem: tasks missing, repeated, unknown, or different in a field."""
+    seen = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.min(f).alias(f"_r_{f}") for f in fields])
+    both = tasks.select(key, *fields).withColumn("_t", F.lit(True)).join(seen, key, "full")
+    differs = F.lit(False)
+    for f in fields:
+        differs = differs | ~F.col(f).eqNullSafe(F.col(f"_r_{f}"))
+    problem = F.when(F.col("_t").isNull(), "unknown").when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "repeated").when(differs, "different")
+    return both.select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def exclusion_problems(register: DataFrame, tasks: DataFrame, key: str, field: str) -> DataFrame:
+    """key and problem of an exclusion register's entries: unknown, entered twice, or of another ``field`` than the task."""
+    n = register.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(field).alias("_f"))
+    both = n.join(tasks.select(key, field).withColumn("_t", F.lit(True)), key, "left")
+    problem = F.when(F.col("_t").isNull(), "unknown").when(F.col("_n") > 1, "duplicate").when(~F.col("_f").eqNullSafe(F.col(field)), "mismatch")
+    return both.select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def not_excluded(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is on no exclusion list; rows without a key stay."""
+    return rows.join(excluded.select(key).distinct(), key, "left_anti")
+
+
 def null_safe_semi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left rows whose keys occur on the right, where null equals null."""
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys]).distinct()
@@ -57,11 +108,15 @@ def mark_covered(items: DataFrame, covered: DataFrame, keys: list[str]) -> DataF
 
 
 def match_lines(items: DataFrame, mutants: DataFrame, keys: list[str]) -> DataFrame:
-    """Items (lines array) with the set of mutant statuses on any of their lines; killed beats missed."""
-    exploded = items.select(*keys, "item_id", F.explode("lines").alias("line"))
-    hit = exploded.join(mutants.select(*keys, "line", "status"), [*keys, "line"])
-    found = hit.groupBy(*keys, "item_id").agg(F.array_sort(F.collect_set("status")).alias("statuses"))
-    out = items.join(found, [*keys, "item_id"], "left").withColumn("statuses", F.coalesce("statuses", F.array().cast("array<string>")))
+    """Items (lines array) with the set of mutant statuses on any of their lines; killed beats missed.
+
+    Mutants become one small map from lines to statuses per row, which each item
+    of the row looks up: one join, and no aggregate over items.
+    """
+    lines = mutants.groupBy(*keys, "line").agg(F.collect_set("status").alias("s")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("line", "s"))).alias("_at"))
+    none = F.array().cast("array<string>")
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform("lines", lambda x: F.coalesce(F.try_element_at("_at", x), none)))))
+    out = items.join(lines, keys, "left").withColumn("statuses", F.when(F.col("_at").isNull(), none).otherwise(found)).drop("_at")
     reached = F.when(F.array_contains("statuses", "KILLED"), "covered").when(F.arrays_overlap("statuses", F.array(F.lit("SURVIVED"), F.lit("NO_COVERAGE"))), "missed")
     return out.withColumn("match", reached.when(F.size("statuses") > 0, "other").otherwise("unmutated"))
 

@@ -1,4 +1,9 @@
-"""Java text to items: obligations, boundary evidence and mutants as table operators."""
+"""Java text to items: obligations, boundary evidence, mutants and test evidence as table operators.
+
+Line rules, signatures, types and argument classes are column expressions. What
+needs bracket matching is found in one Arrow pass per source (``facts``), whose
+answers are arrays that columns expand.
+"""
 
 from __future__ import annotations
 
@@ -6,93 +11,261 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import javatext
+from ..functions import javasql as Q
+from ..functions import javatext as J
+from ..functions.classify import dependency_kind
+from ..functions.semantics import ratio
 
 SNIPPET = 240
-_TERNARY = r"\?(?!\s*(?:extends\b|super\b|[>,]))[^;]*:"
-#: line rules of which the first ends a line (fixed values)
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+# --- fixed values: line rules of which the first ends a line
 STOPPING = (("else_if", r"\belse\s+if\s*\("), ("if", r"\bif\s*\("), ("switch", r"\bswitch\s*\("), ("case", r"\bcase\s+([^:]+)\s*:"), ("default", r"\bdefault\s*:"))
+# --- fixed values: calls of the outside, and which of them a test can assert
+DEPENDENCY = (
+    r"\bnew\s+(?:Socket|ServerSocket)\s*\(|\.(?:connect|getInputStream|getOutputStream|getResponseCode)\s*\(|\b\w+\.(?:send|execute)\s*\(|"
+    r"\bFiles\.(?:read|write|create|delete|copy|move|newInputStream|newOutputStream)\w*\s*\(|"
+    r"\bnew\s+(?:FileInputStream|FileOutputStream|InputStreamReader|OutputStreamWriter|FileReader|FileWriter|BufferedReader|BufferedWriter)\s*\("
+)
+PROCESS_STREAM = r"(?i)\b(?:process|getProcess|proc)\s*\.\s*(?:getInputStream|getErrorStream|getOutputStream)\s*\(|\bProcessBuilder\b|\bRuntime\.getRuntime\s*\(\s*\)\.exec\b"
+SIDE_EFFECT = r"\bFiles\.(?:write|delete|copy|move)\w*\s*\(|\bnew\s+(?:FileOutputStream|OutputStreamWriter|FileWriter|BufferedWriter)\s*\(|\.(?:getOutputStream|send|execute)\s*\("
+# --- fixed values: boundary signals in a source, and mentions of categories in a test
+SOURCE_SIGNALS = {
+    "null": r"==\s*null|!=\s*null|\bObjects\.(?:isNull|nonNull)\s*\(",
+    "empty": r"\.isEmpty\s*\(|\.length\s*\(\s*\)\s*==\s*0|\.size\s*\(\s*\)\s*==\s*0|\.length\s*==\s*0",
+    "zero": r"(?:==|!=|<=|>=|<|>)\s*0\b|\b0\s*(?:==|!=|<=|>=|<|>)|\b(?:size|length|count|num|number|index|offset|limit|skip)\w*\b|\+\+|--|\+=|-=|\*=|/=|%=|(?<![+\-*/%])[-+*/%](?![+\-*/%=])",
+    "negative": r"<\s*0|<=\s*-1|-\s*1",
+}
+MENTIONS = {
+    "null": r"\bnull\b", "empty": r'empty\w*\s*\(|""\b|new\s+\w+\s*\[\s*0\s*\]|List\.of\s*\(\s*\)|Arrays\.asList\s*\(\s*\)|Collections\.empty',
+    "false_value": r"\bfalse\b|Boolean\.FALSE\b", "true_value": r"\btrue\b|Boolean\.TRUE\b", "zero": r"(?<![\w.])0(?![\w.])", "negative": r"(?<![\w.])-\s*[1-9]\d*(?![\w.])",
+}
+
+ITEM = "struct<signal:string,construct:string>"
 
 
 def source_lines(df: DataFrame, key: str, source: str) -> DataFrame:
-    """key, line (from 1), text of every line that is neither blank, import, package nor comment."""
-    lines = df.select(key, F.posexplode(F.split(source, r"\r?\n")).alias("at", "text")).select(key, (F.col("at") + 1).alias("line"), F.trim("text").alias("text"))
+    """key, line (from 1), raw, text of every line that is neither blank, import, package nor comment; text is trimmed."""
+    lines = df.select(key, F.posexplode(F.split(source, LINE_END)).alias("at", "raw")).select(key, (F.col("at") + 1).alias("line"), "raw", Q.stripped(F.col("raw")).alias("text"))
     return lines.where((F.col("text") != "") & ~F.col("text").rlike(r"^(?:import |package |//|/\*|\*)"))
 
 
 def pattern_lines(df: DataFrame, key: str, source: str, pattern: str) -> DataFrame:
-    """key, line, snippet of the lines that match a pattern."""
-    return source_lines(df, key, source).where(F.col("text").rlike(pattern)).select(key, "line", F.left("text", F.lit(SNIPPET)).alias("snippet"))
+    """key, line, snippet of the lines that match a pattern as they stand."""
+    return source_lines(df, key, source).where(F.col("raw").rlike(pattern)).select(key, "line", F.left("text", F.lit(SNIPPET)).alias("snippet"))
 
 
 def _also(condition: Column, *signals: tuple[str, str]) -> Column:
     found = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(c).alias("construct")) for s, c in signals])
-    return F.when(condition, found).otherwise(F.array().cast("array<struct<signal:string,construct:string>>"))
+    return F.when(condition, found).otherwise(F.array().cast(f"array<{ITEM}>"))
 
 
 def control_flow_obligations(df: DataFrame, key: str, source: str) -> DataFrame:
-    """key, line, signal, construct, case_value, switch_line, snippet: natively, a window carries the current switch."""
+    """key, line, signal, construct, condition, case_value, case_values, switch_condition, snippet: natively.
+
+    A window carries the last switch's condition to later labels; a default
+    label knows the case labels of its switch before it.
+    """
     text = F.col("text")
     stop = None
     for name, pattern in STOPPING:
         stop = F.when(text.rlike(pattern), name) if stop is None else stop.when(text.rlike(pattern), name)
-    lines = source_lines(df, key, source).withColumn("stop", stop)
+    lines = source_lines(df, key, source).drop("raw").withColumn("stop", stop)
     w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("switch_line", F.last(F.when(F.col("stop") == "switch", F.col("line")), ignorenulls=True).over(w))
+    switch = F.when(F.col("stop") == "switch", F.struct("line", Q.condition_of(text, "switch").alias("condition")))
+    lines = lines.withColumn("switch", F.last(switch, ignorenulls=True).over(w))
+    lines = lines.withColumn("case_value", F.when(F.col("stop") == "case", Q.stripped(F.regexp_extract("text", STOPPING[3][1], 1))))
+    labels = Window.partitionBy(key, "switch.line").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("case_values", F.when((F.col("stop") == "default") & F.col("switch").isNotNull(), F.array_sort(F.collect_set("case_value").over(labels))))
     each_for = text.rlike(r"\bfor\s*\([^;:]+:\s*[^)]+\)")
     free = F.concat(
         _also(each_for, ("enhanced_for_iteration", "enhanced_for_iteration")), _also(~each_for & text.rlike(r"\b(?:for|while)\s*\("), ("loop_condition_true", "loop_condition"), ("loop_condition_false", "loop_condition")),
         _also(text.rlike(r"\btry\s*\{"), ("try_normal", "try")), _also(text.rlike(r"\bcatch\s*\("), ("catch_exception", "catch")), _also(text.rlike(r"\bthrow\b"), ("exception_path", "exception_path")),
-        _also(text.rlike(_TERNARY), ("ternary_true", "ternary"), ("ternary_false", "ternary")),
+        _also(Q.has_ternary(text), ("ternary_true", "ternary"), ("ternary_false", "ternary")),
     )
     named = F.when(F.col("stop").isin("if", "else_if"), F.concat("stop", F.lit("_condition"))).otherwise(F.col("stop"))
     own = F.array(F.struct(named.alias("signal"), F.col("stop").alias("construct")))
-    items = F.when(F.col("stop") == "switch", F.array().cast("array<struct<signal:string,construct:string>>")).when(F.col("stop").isNotNull(), own).otherwise(free)
-    out = lines.select(key, "line", "text", "switch_line", F.explode(items).alias("item")).select(key, "line", "item.*", "text", "switch_line")
-    case = F.col("construct") == "case"
+    items = F.when(F.col("stop") == "switch", F.array().cast(f"array<{ITEM}>")).when(F.col("stop").isNotNull(), own).otherwise(free)
+    out = lines.select(key, "line", "text", "switch", "case_value", "case_values", F.explode(items).alias("item")).select(key, "line", "item.*", "text", "switch", "case_value", "case_values")
+    construct = F.col("construct")
+    condition = F.when(construct.isin("if", "else_if"), Q.condition_of(text, "if")).when(construct == "loop_condition", F.coalesce(Q.condition_of(text, "for"), Q.condition_of(text, "while")))
     return out.select(
-        key, "line", "signal", "construct", F.when(case, F.trim(F.regexp_extract("text", r"\bcase\s+([^:]+)\s*:", 1))).alias("case_value"),
-        F.when(case | (F.col("construct") == "default"), F.col("switch_line")).alias("switch_line"), F.left("text", F.lit(SNIPPET)).alias("snippet"),
+        key, "line", "signal", "construct", condition.alias("condition"), "case_value", "case_values",
+        F.when(construct.isin("case", "default"), F.col("switch.condition")).alias("switch_condition"), F.left("text", F.lit(SNIPPET)).alias("snippet"),
     )
 
 
-def boundary_evidence(df: DataFrame, key: str) -> DataFrame:
-    """key, parameter, category, bound, covered of every boundary obligation (source, signature, test_code); none for private targets."""
+def _pass(df: DataFrame, key: str, columns: list[str], schema: str, of) -> DataFrame:
+    """One Arrow pass: ``of`` makes tuples behind the key from a row's columns."""
+    names = [key, *(part.split()[0] for part in schema.split(", "))]
+    kind = dict(df.dtypes)[key]
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for k, source, signature, test in zip(pdf[key], pdf["source"], pdf["signature"], pdf["test_code"]):
-                if not source or not signature or javatext.parse_signature(signature).private:
-                    continue
-                hits = set(javatext.boundary_hits(source, signature, test or ""))
-                rows += [(k, *item, item in hits) for item in javatext.boundary_items(source, signature)]
-            yield pd.DataFrame(rows, columns=[key, "parameter", "category", "bound", "covered"])
+            rows = [(k, *t) for k, *values in zip(pdf[key], *(pdf[c] for c in columns)) for t in of(*values)]
+            yield pd.DataFrame(rows, columns=names).astype(object)
+
+    return df.select(key, *columns).mapInPandas(run, f"{key} {kind}, {schema}")
+
+
+def control_flow_items(df: DataFrame, key: str) -> DataFrame:
+    """The control-flow obligations of (source) with candidate_lines, scope and whether they are scored.
+
+    Candidates are the lines of a try or catch body, of a case's part, or of a
+    ternary's or throw's statement. Of obligations that share a scored item
+    (both outcomes of a ternary line, labels of one body) the first is scored.
+    """
+    found = control_flow_obligations(df, key, "source")
+    rows = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line", "construct", "signal"))).alias("items")).join(df.select(key, "source"), key)
+
+    def of(items, source):
+        items = [(int(i["line"]), i["construct"], i["signal"]) for i in items]
+        pairs = [(line, construct) for line, construct, _ in items]
+        spans, inner = J.case_spans(pairs, source), J.private_classes(source)
+        scored = {(line, construct): start for line, construct, start in J.scored_items(pairs, source)}
+        for line, construct, signal in items:
+            lines = {line}
+            if construct in ("try", "catch", "ternary") or construct == "exception_path":
+                lines |= set(J.span_from_line(source, line, construct))
+            elif construct in ("case", "default"):
+                lines |= set(spans.get(line, ()))
+            private = any(a <= line <= b for a, b in inner)
+            first = (line, construct) in scored and not signal.endswith("ternary_false")
+            yield line, signal, sorted(lines), "private_nested" if private else "target_scope", bool(first)
+
+    extra = _pass(rows, key, ["items", "source"], "line int, signal string, candidate_lines array<int>, scope string, scored boolean", of).distinct()
+    return found.join(extra, [key, "line", "signal"])
+
+
+def bound_facts(df: DataFrame, key: str) -> DataFrame:
+    """key, bounds and forms of (source, signature, test_code): comparisons with literals, and what calls' arguments stand for.
+
+    One pass per source; parameters count from 0.
+    """
+
+    def of(source, signature, test):
+        sig = J.parse_signature(signature)
+        found = J.inferred_bounds(source or "", sig)
+        bounds = [(i, b.kind, None if b.kind == "string" else float(b.value), b.value if b.kind == "string" else None, b.key) for i, held in found.items() for b in held]
+        bounds += [(i, "texts", None, None, J.texts_key(held)) for i, held in found.items() if any(b.kind == "string" for b in held)]
+        forms, constants, calls = set(), J.constant_table(source or ""), J.placed_calls(test or "", sig.name)
+        for at, args in calls:
+            if len(args) == len(sig.types):
+                values = J.local_values(test, at)
+                forms |= {(i, f) for i, a in enumerate(args) for f in J.argument_forms(a, test, at, values, constants)}
+        yield [dict(zip(("parameter", "kind", "number", "text", "bound"), b)) for b in bounds], [dict(parameter=i, form=f) for i, f in sorted(forms)], len(calls), J.argument_variants(test or "", sig.name)
+
+    schema = "bounds array<struct<parameter:int,kind:string,number:double,text:string,bound:string>>, forms array<struct<parameter:int,form:string>>, calls int, variants int"
+    return _pass(df, key, ["source", "signature", "test_code"], schema, of)
+
+
+def _cases(names, bound) -> Column:
+    return F.array(*[F.struct(F.lit(n + "_inferred_bound").alias("category"), bound.alias("bound")) for n in names])
+
+
+def boundary_items(bounds, types) -> Column:
+    """array of (parameter, category, bound): the boundary obligations of a method's parameters."""
+    by_type = F.flatten(F.transform(types, lambda t, i: F.transform(Q.type_categories(t), lambda c: F.struct(i.alias("parameter"), c.alias("category"), F.lit(None).cast("string").alias("bound")))))
+    own = lambda b: F.when(b["kind"] == "number", _cases(("below", "at", "above"), b["bound"])).when(b["kind"] == "string", _cases(("same",), b["bound"])).otherwise(_cases(("different",), b["bound"]))
+    inferred = F.flatten(F.transform(bounds, lambda b: F.transform(own(b), lambda c: F.struct(b["parameter"].alias("parameter"), c["category"].alias("category"), c["bound"].alias("bound")))))
+    return F.array_distinct(F.concat(by_type, inferred))
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, "source", "signature", "test_code").mapInPandas(run, f"{key} {kind}, parameter int, category string, bound string, covered boolean")
+
+def boundary_hits(bounds, forms, types) -> Column:
+    """array of (parameter, category, bound) that the forms of a test's arguments hit."""
+    triple = lambda p, c, b: F.struct(p.alias("parameter"), c.alias("category"), b.alias("bound"))
+
+    def of_form(f):
+        p, form = f["parameter"], f["form"]
+        mine = F.filter(bounds, lambda b: b["parameter"] == p)
+        numbers, texts = Q.all_numbers(form), Q.all_texts(form)
+        known = F.transform(F.filter(mine, lambda b: b["kind"] == "string"), lambda b: b["text"])
+        by_type = F.transform(Q.argument_categories(form, F.get(types, p)), lambda c: triple(p, c, F.lit(None).cast("string")))
+        side = lambda v, b: F.when(v < b, "below_inferred_bound").when(v == b, "at_inferred_bound").otherwise("above_inferred_bound")
+        number = F.flatten(F.transform(F.filter(mine, lambda b: b["kind"] == "number"), lambda b: F.transform(numbers, lambda v: triple(p, side(v, b["number"]), b["bound"]))))
+        same = F.transform(F.filter(mine, lambda b: (b["kind"] == "string") & F.array_contains(texts, b["text"])), lambda b: triple(p, F.lit("same_inferred_bound"), b["bound"]))
+        other = F.transform(F.filter(mine, lambda b: (b["kind"] == "texts") & (F.size(F.array_except(texts, known)) > 0)), lambda b: triple(p, F.lit("different_inferred_bound"), b["bound"]))
+        return F.concat(by_type, number, same, other)
+
+    return F.flatten(F.transform(forms, of_form))
+
+
+def boundary_evidence(df: DataFrame, key: str) -> DataFrame:
+    """key, parameter, category, bound, covered of every boundary obligation (source, signature, test_code); none for private targets."""
+    facts = bound_facts(df, key).join(df.select(key, Q.signature("signature").alias("sig")), key)
+    facts = facts.where(~F.col("sig.private")).withColumns({"items": boundary_items(F.col("bounds"), F.col("sig.types")), "hits": boundary_hits(F.col("bounds"), F.col("forms"), F.col("sig.types"))})
+    name = lambda x: F.concat_ws("\x01", x["parameter"].cast("string"), x["category"], F.coalesce(x["bound"], F.lit("")))
+    hit = F.transform("hits", name)
+    items = F.transform("items", lambda x: F.struct(x["parameter"].alias("parameter"), x["category"].alias("category"), x["bound"].alias("bound"), F.array_contains(hit, name(x)).alias("covered")))
+    return facts.select(key, F.explode(items).alias("x")).select(key, "x.*")
+
+
+def boundary_row_scores(df: DataFrame, key: str) -> DataFrame:
+    """key, score of every row: the mean over parameters of covered / applicable; null for private targets and those without items."""
+    items = boundary_evidence(df, key)
+    each = items.groupBy(key, "parameter").agg(ratio(F.sum(F.col("covered").cast("int")), F.count(F.lit(1))).alias("r"))
+    return df.select(key).join(each.groupBy(key).agg(F.avg("r").alias("score")), key, "left")
+
+
+def unresolved_arguments(df: DataFrame, key: str) -> DataFrame:
+    """key, arguments, unresolved, rate and up to 10 examples of target arguments that are neither literals nor constructions."""
+
+    def of(signature, test):
+        args, unknown = J.unresolvable_arguments(signature, test or "")
+        yield args, unknown, J.unresolved_examples(signature, test or "")[:10]
+
+    out = _pass(df, key, ["signature", "test_code"], "arguments long, unresolved long, examples array<string>", of)
+    return out.withColumn("rate", ratio("unresolved", "arguments"))
+
+
+def _mutant_pass(df: DataFrame, key: str, make) -> DataFrame:
+    return _pass(df, key, ["source", "signature"], "line int, construct string, variant string, mutated string", lambda source, signature: make(source or "", signature or ""))
 
 
 def mutants(df: DataFrame, key: str) -> DataFrame:
     """key, line, construct, variant, mutated: control-flow and return mutants of every source."""
+    return _mutant_pass(df, key, lambda source, signature: J.control_flow_mutants(source) + J.return_mutants(source, signature))
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(k, *m) for k, source, signature in zip(pdf[key], pdf["source"], pdf["signature"]) if source for m in javatext.control_flow_mutants(source) + javatext.return_mutants(source, signature or "")]
-            yield pd.DataFrame(rows, columns=[key, "line", "construct", "variant", "mutated"])
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, "source", "signature").mapInPandas(run, f"{key} {kind}, line int, construct string, variant string, mutated string")
+def case_and_fallback_mutants(df: DataFrame, key: str) -> DataFrame:
+    """As mutants: emptied case bodies and the fallbacks of cases, catches and throws."""
+    return _mutant_pass(df, key, J.case_mutants)
+
+
+def oracle_mutants(df: DataFrame, key: str) -> DataFrame:
+    """As mutants: exception types, output sinks, removed statements, altered arguments and neutralised results; none for private targets."""
+    return _mutant_pass(df, key, lambda source, signature: [] if J.parse_signature(signature).private else J.exception_mutants(source, signature) + J.sink_mutants(source) + J.statement_mutants(source) + J.result_mutants(source))
+
+
+#: patterns that count in test code, without literals and comments (fixed values)
+FEATURES = {
+    "assertions": r"\bassert\w*\s*\(", "equals": r"\bassertEquals\s*\(", "throws": r"\bassertThrows\s*\(", "truths": r"\bassert(?:True|False)\s*\(", "nulls": r"\bassert(?:NotNull|Null)\s*\(", "fails": r"\bfail\s*\(",
+    "tests": r"@Test\b", "verifications": r"\bverify\s*\(", "method_invocation_count": r"\b[A-Za-z_]\w*\s*\(", "object_creation_count": r"\bnew\s+[A-Za-z_][\w<>.]*\s*\(", "catch_clause_count": r"\bcatch\s*\(",
+    "throw_statement_count": r"\bthrow\b", "if_statement_count": r"\bif\s*\(", "loop_statement_count": r"\b(?:for|while)\s*\(", "target_calls": r"\bSubject\.\w+\s*\(",
+}
+#: patterns of which any occurrence counts (fixed values)
+FLAGS = {
+    "uses_reflection": r"getDeclared(?:Field|Method|Constructor)|setAccessible\s*\(", "uses_subclass_or_override": r"\bextends\b|@Override\b", "uses_manual_assertion_error": r"throw\s+new\s+AssertionError\b",
+    "has_exception_test": r"(?s)assertThrows|expected\s*=|catch\s*\([^)]*(?:Exception|Throwable|Error)|try\s*\{[^}]*\}\s*catch",
+}
 
 
 def assertion_features(df: DataFrame, key: str, test: str) -> DataFrame:
-    """key and counts of assertion forms in test code, natively; literals and comments do not count."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(test, F.lit("")), r"(?s)/\*.*?\*/|//[^\n]*", " "), r'"(?:\\.|[^"\\])*"', '""')
-    n = lambda p: F.regexp_count(bare, F.lit(p))
-    return df.select(
-        key, n(r"\bassert\w*\s*\(").alias("assertions"), n(r"\bassertEquals\s*\(").alias("equals"), n(r"\bassertThrows\s*\(").alias("throws"), n(r"\bassert(?:True|False)\s*\(").alias("truths"),
-        n(r"\bassert(?:NotNull|Null)\s*\(").alias("nulls"), n(r"\bfail\s*\(").alias("fails"), n(r"@Test\b").alias("tests"), n(r"\bverify\s*\(").alias("verifications"),
-    )
+    """key, counts and flags of forms in test code, natively."""
+    bare = Q.without_comments(Q.text_of(test))
+    counts = [F.regexp_count(bare, F.lit(p)).alias(n) for n, p in FEATURES.items()]
+    return df.select(key, *counts, *[F.coalesce(bare.rlike(p), F.lit(False)).alias(n) for n, p in FLAGS.items()])
+
+
+def test_evidence(df: DataFrame, key: str) -> DataFrame:
+    """key and the evidence of (signature, test_code) about results, exceptions and effects; failures that a test swallows do not count."""
+
+    def of(signature, test):
+        name, test = J.parse_signature(signature).name, test or ""
+        swallowed = J.swallowed_failures(test)
+        yield *J.return_assertions(test, name), *J.exception_assertions(test, name), J.effect_assertions(test), len(swallowed), J.argument_variants(test, name), sorted(J.helper_closure(test))
+
+    schema = "meaningful_returns int, weak_returns int, strong_exceptions int, weak_exceptions int, weak_handlers int, effects int, swallowed int, variants int, helpers array<string>"
+    return _pass(df, key, ["signature", "test_code"], schema, of)
 
 
 def exception_obligations(df: DataFrame, key: str, source: str) -> DataFrame:
@@ -100,22 +273,193 @@ def exception_obligations(df: DataFrame, key: str, source: str) -> DataFrame:
     return pattern_lines(df, key, source, r"\bthrow\b")
 
 
-#: calls whose effect outside the method a test can assert (fixed values)
-SIDE_EFFECT = r"\bFiles\.(?:write|delete|copy|move)\w*\s*\(|\bnew\s+(?:FileOutputStream|OutputStreamWriter|FileWriter|BufferedWriter)\s*\(|\.(?:getOutputStream|send|execute)\s*\("
+def sends(snippet: Column) -> Column:
+    """Whether a send or execute call has a receiver of the network."""
+    receiver = F.lower(F.regexp_extract(snippet, r"\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\s*\.\s*(?:send|execute)\s*\(", 1))
+    return (receiver != "") & ~receiver.contains("asynctask") & receiver.rlike("http|client|request|socket|conn|connection|url|rest|web")
 
 
-def oracle_obligations(df: DataFrame, key: str) -> DataFrame:
-    """key, signal, line, snippet: return, exception and side-effect obligations, each once; none of returns for void targets."""
+def contract_cases(snippet: Column, context: Column) -> Column:
+    """Outcomes that a call of the outside can have, sorted, by the call and the method around it (fixed rules)."""
+    kind = F.lower(F.regexp_extract(snippet, r"\b(?:final\s+)?([A-Za-z_][\w.$<>?,\[\]]+(?:\s*<[^;=]+>)?(?:\s*\[\])?)\s+[A-Za-z_]\w+\s*=", 1))
+    when = lambda c, *names: F.when(c, F.array(*map(F.lit, names)))
+    none = F.expr(Q.NO_TEXTS)
+    call = (
+        when(snippet.rlike(r"\bFiles\.(?:write|delete|copy|move)\w*\s*\(|\bnew\s+FileOutputStream\s*\("), "void_or_side_effect", "exception")
+        .when(snippet.rlike(r"\bFiles\.(?:read|newInputStream)\w*\s*\(|\bnew\s+(?:FileInputStream|InputStreamReader|BufferedReader|FileReader)\s*\("), F.array(*map(F.lit, ("positive_normal", "empty", "exception"))))
+        .when(snippet.rlike(r"\bnew\s+(?:Socket|ServerSocket)\s*\(|\.(?:connect|getInputStream|getOutputStream)\s*\(|\b\w+\.send\s*\(|\b\w+\.execute\s*\("), F.array(F.lit("positive_normal"), F.lit("exception")))
+        .otherwise(none)
+    )
+    held = (
+        F.when(kind == "", none).when(kind.rlike("int|integer|long|short|byte|float|double|bigdecimal|biginteger"), F.array(*map(F.lit, ("zero", "negative", "positive_normal"))))
+        .when(kind.rlike("string|charsequence"), F.array(F.lit("empty"), F.lit("positive_normal"))).when(kind.contains("boolean"), F.array(F.lit("zero"), F.lit("positive_normal")))
+        .when(~kind.rlike(r"\bvoid\b"), F.array(F.lit("null_value"), F.lit("positive_normal"))).otherwise(none)
+    )
+    clean = Q.without_comments(context)
+    large = F.when(clean.rlike(r"(?i)\b(?:status|code|timeout|limit|bound|large|MAX_VALUE|MIN_VALUE)\b"), F.array(F.lit("large_or_boundary"))).otherwise(none)
+    fails = F.when(clean.rlike(r"\bthrow\s+new\b|\bthrows\b|\bcatch\s*\(|\b(?:IOException|MalformedURLException|FileNotFoundException|SocketException)\b"), F.array(F.lit("exception"))).otherwise(none)
+    every = F.array_sort(F.array_distinct(F.concat(call, held, large, fails)))
+    http = F.array(*map(F.lit, ("exception", "http_error_status", "http_success_status")))
+    return F.when(snippet.rlike(r"\bgetResponseCode\s*\("), http).when(F.size(every) == 0, F.array(F.lit("positive_normal"))).otherwise(every)
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(k, "return_behavior", *item) for k, source, signature in zip(pdf[key], pdf["source"], pdf["signature"]) if source for item in javatext.return_obligations(source, signature or "")]
-            out = pd.DataFrame(rows, columns=[key, "signal", "line", "snippet"])
-            out["line"] = out["line"].astype("Int32")
-            yield out
 
-    kind = dict(df.dtypes)[key]
-    returns = df.select(key, "source", "signature").mapInPandas(run, f"{key} {kind}, signal string, line int, snippet string")
+def dependency_obligations(df: DataFrame, key: str) -> DataFrame:
+    """key, line, snippet, kind, case: calls of the outside on the target's lines, once per contract case."""
+
+    def of(source, signature):
+        name = J.parse_signature(signature).name
+        span = J.target_span(source or "", name) if name else None
+        yield (J.line_of(source, span[0]), J.line_of(source, span[1] - 1), source[span[0] : span[1]]) if span else (None, None, source)
+
+    spans = _pass(df, key, ["source", "signature"], "first int, last int, method string", of)
+    found = pattern_lines(df, key, "source", DEPENDENCY).join(spans, key)
+    s = F.col("snippet")
+    inside = F.col("first").isNull() | F.col("line").between(F.col("first"), F.col("last"))
+    found = found.where(inside & ~s.rlike(PROCESS_STREAM) & (~s.rlike(r"\.\s*(?:send|execute)\s*\(") | sends(s)))
+    return found.select(key, "line", "snippet", dependency_kind(s).alias("kind"), F.explode(contract_cases(s, Q.text_of("method"))).alias("case"))
+
+
+def is_assertable(snippet: Column, case: Column) -> Column:
+    return (case == "void_or_side_effect") | snippet.rlike(SIDE_EFFECT)
+
+
+def return_obligations(df: DataFrame, key: str) -> DataFrame:
+    """key, line, snippet of each line on which the target returns a value."""
+    return _pass(df, key, ["source", "signature"], "line int, snippet string", lambda source, signature: J.return_obligations(source or "", signature or ""))
+
+
+def oracle_obligations(df: DataFrame, key: str) -> DataFrame:
+    """key, signal, line, snippet: return, exception and assertable side-effect obligations, each once; none of returns for void targets."""
     named = lambda rows, signal: rows.select(key, F.lit(signal).alias("signal"), "line", "snippet")
-    found = returns.unionByName(named(exception_obligations(df, key, "source"), "exception_behavior")).unionByName(named(pattern_lines(df, key, "source", SIDE_EFFECT), "side_effect_or_dependency"))
-    return found.distinct()
+    outside = dependency_obligations(df, key)
+    effects = named(outside.where(is_assertable(F.col("snippet"), F.col("case"))), "side_effect_or_dependency")
+    return named(return_obligations(df, key), "return_behavior").unionByName(named(exception_obligations(df, key, "source"), "exception_behavior")).unionByName(effects).distinct()
+
+
+def assertion_mutation_items(df: DataFrame, key: str) -> DataFrame:
+    """key, construct, line, snippet: what assertion mutants are made for, each once; none for private targets."""
+    public = df.where(~Q.signature("signature")["private"])
+    named = lambda rows, construct: rows.select(key, construct.alias("construct"), "line", "snippet")
+    outside = dependency_obligations(public, key)
+    kind = F.when(is_assertable(F.col("snippet"), F.col("case")), "side_effect_or_dependency").otherwise("interaction_dependency")
+    found = named(return_obligations(public, key), F.lit("return_behavior")).unionByName(named(exception_obligations(public, key, "source"), F.lit("exception_behavior")))
+    return found.unionByName(named(outside, kind)).distinct()
+
+
+def obligation_totals(df: DataFrame, key: str) -> DataFrame:
+    """key, category, total of (source, signature): a category without obligations counts 0, the oracle always 1."""
+    signals = F.lit(0)
+    for p in SOURCE_SIGNALS.values():
+        signals = signals + F.coalesce(F.col("source").rlike(p), F.lit(False)).cast("int")
+    fixed = df.select(key, F.explode(F.array(
+        F.struct(F.lit("boundary_value").alias("category"), signals.alias("n")), F.struct(F.lit("exception_path").alias("category"), F.regexp_count(Q.text_of("source"), F.lit(r"\bthrow\b")).alias("n")),
+        F.struct(F.lit("weak_oracle").alias("category"), F.lit(1).alias("n")), F.struct(F.lit("state_transition").alias("category"), F.lit(0).alias("n")),
+        F.struct(F.lit("branch_condition").alias("category"), F.lit(0).alias("n")), F.struct(F.lit("interaction_dependency").alias("category"), F.lit(0).alias("n")),
+    )).alias("x")).select(key, "x.*")
+    one = lambda rows, category: rows.select(key, F.lit(category).alias("category"), F.lit(1).alias("n"))
+    every = fixed.unionByName(one(control_flow_obligations(df, key, "source"), "branch_condition")).unionByName(one(dependency_obligations(df, key), "interaction_dependency"))
+    return every.groupBy(key, "category").agg(F.sum("n").alias("total"))
+
+
+def source_signals(df: DataFrame, key: str) -> DataFrame:
+    """key, and which boundary categories a source compares with and a test mentions, sorted."""
+    held = lambda c, rules: F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(c.rlike("(?m)" + p), F.lit(False)), n) for n, p in rules.items()])))
+    return df.select(key, held(F.col("source"), SOURCE_SIGNALS).alias("signals"), held(F.col("test_code"), MENTIONS).alias("mentions"))
+
+
+def nullable_parameters(df: DataFrame, key: str) -> DataFrame:
+    """key, parameter, name of the parameters that a source compares with null or checks for it."""
+    rows = df.select(key, "source", F.posexplode(Q.signature("signature")["names"]).alias("parameter", "name"))
+    n, s = F.col("name"), F.regexp_replace(Q.text_of("source"), r"\s+", "")
+    told = [F.concat(n, F.lit("==null")), F.concat(n, F.lit("!=null")), F.concat(F.lit("null=="), n), F.concat(F.lit("null!="), n)]
+    told += [F.concat(F.lit(f"Objects.{c}("), n, F.lit(e)) for c, e in (("isNull", ")"), ("nonNull", ")"), ("requireNonNull", ")"), ("requireNonNull", ","))]
+    hit = F.lit(False)
+    for t in told:
+        hit = hit | F.coalesce(F.concat(F.lit(" "), F.regexp_replace(s, r"[^\w.=!(),]", " "), F.lit(" ")).contains(t), F.lit(False))
+    return rows.where(hit).select(key, "parameter", "name")
+
+
+def condition_outcomes(df: DataFrame, key: str) -> DataFrame:
+    """key, line, condition, reached_true, reached_false of the if conditions that the test's calls decide."""
+    items = control_flow_obligations(df, key, "source").where(F.col("construct").isin("if", "else_if"))
+    rows = items.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line", "snippet"))).alias("items")).join(df.select(key, "signature", "test_code"), key)
+    of = lambda items, signature, test: J.condition_outcomes([(int(i["line"]), i["snippet"]) for i in items], test or "", signature)
+    return _pass(rows, key, ["items", "signature", "test_code"], "line int, condition string, reached_true boolean, reached_false boolean", of)
+
+
+def case_outcomes(df: DataFrame, key: str) -> DataFrame:
+    """key, line, label of the case and default labels that the test's calls reach."""
+    items = control_flow_obligations(df, key, "source").where(F.col("construct").isin("case", "default") & F.col("switch_condition").isNotNull())
+    rows = items.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line", "construct", "switch_condition", "case_value", "case_values"))).alias("items")).join(df.select(key, "signature", "test_code"), key)
+
+    def of(items, signature, test):
+        return J.case_outcomes([(int(i["line"]), i["construct"], i["switch_condition"], i["case_value"], list(i["case_values"]) if i["case_values"] is not None else []) for i in items], test or "", signature)
+
+    return _pass(rows, key, ["items", "signature", "test_code"], "line int, label string", of)
+
+
+def oracle_matches(df: DataFrame, key: str) -> DataFrame:
+    """key, item, signal, line, score, reason: every oracle obligation scored 0, 1 or 2 by the evidence that is left for it.
+
+    Within a signal the first obligations get direct evidence, the next ones weak
+    evidence. Obligations whose thrown message a test quotes take direct evidence
+    before the others.
+    """
+    items = oracle_obligations(df, key)
+    rank = F.when(F.col("signal") == "return_behavior", 0).when(F.col("signal") == "exception_behavior", 1).otherwise(2)
+    items = items.withColumn("item", F.row_number().over(Window.partitionBy(key).orderBy(rank, F.col("line").asc_nulls_first(), "snippet")) - 1)
+    seen = test_evidence(df, key).join(df.select(key, Q.all_texts(Q.text_of("test_code")).alias("quoted")), key)
+    rows = items.join(seen, key)
+    signal = F.col("signal")
+    direct = F.when(signal == "return_behavior", F.col("meaningful_returns")).when(signal == "exception_behavior", F.col("strong_exceptions")).otherwise(F.col("effects"))
+    weak = F.when(signal == "return_behavior", F.col("weak_returns")).when(signal == "exception_behavior", F.col("weak_exceptions")).otherwise(F.lit(0))
+    message = F.regexp_extract("snippet", r'\bthrow\b.*?"((?:\\.|[^"\\])+)"', 1)
+    told = (signal == "exception_behavior") & (message != "") & F.array_contains("quoted", message)
+    rows = rows.withColumns({"direct": direct, "weak": weak, "told": F.coalesce(told, F.lit(False))})
+    n = F.row_number().over(Window.partitionBy(key, "signal").orderBy(F.desc("told"), "item"))
+    score = F.when(n <= F.col("direct"), 2).when(n <= F.col("direct") + F.col("weak"), 1).otherwise(0)
+    named = {"return_behavior": ("direct_return_or_content_assertion", "weak_return_existence_or_type_assertion"), "exception_behavior": ("specific_exception_type_assertion", "broad_exception_assertion"), "side_effect_or_dependency": ("verified_external_side_effect", "weak_external_side_effect_existence_assertion")}
+    rows = rows.withColumn("score", score)
+    reason = F.when((F.col("score") == 2) & F.col("told"), "specific_exception_message_assertion")
+    for s, (d, w) in named.items():
+        reason = reason.when((F.col("score") == 2) & (signal == s), d).when((F.col("score") == 1) & (signal == s), w)
+    return rows.select(key, "item", "signal", "line", "score", reason.otherwise("no_matched_visible_oracle").alias("reason"))
+
+
+def exception_strength(evidence: DataFrame, obligations: str = "exception_obligations") -> DataFrame:
+    """Evidence rows with covered and asserted exception paths, at most as many as obligations, and their ratio."""
+    asserted = F.least(F.col(obligations), F.col("strong_exceptions") + F.col("weak_exceptions"))
+    covered = F.least(F.col(obligations), F.col("strong_exceptions") + F.col("weak_exceptions") + F.col("weak_handlers"))
+    return evidence.withColumns({"exception_covered": covered, "exception_asserted": asserted, "exception_score": ratio(asserted, F.col(obligations))})
+
+
+def observable_contract(df: DataFrame, key: str) -> DataFrame:
+    """key, and whether returns, exceptions and effects of a target are observable, and any of them is."""
+    found = oracle_obligations(df, key).groupBy(key).agg(*[F.coalesce(F.bool_or((F.col("signal") == s) & F.col("line").isNotNull()), F.lit(False)).alias(s) for s in ("return_behavior", "exception_behavior", "side_effect_or_dependency")], F.count(F.lit(1)).alias("n"))
+    out = df.select(key).join(found, key, "left")
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return out.select(key, *[flag(c) for c in ("return_behavior", "exception_behavior", "side_effect_or_dependency")], (F.coalesce("n", F.lit(0)) > 0).alias("any"))
+
+
+#: numbers that a source's comparisons with lengths and other values name (fixed patterns)
+LENGTH_FORWARD = r"(?:\.length\s*\(\s*\)|\.size\s*\(\s*\)|\blength\b|\bsize\b)\s*(<=|<|>=|>)\s*(\d+)"
+
+
+def boundary_constraints(df: DataFrame, key: str) -> DataFrame:
+    """key, numeric_bounds and lengths: literals that a source compares values and lengths with, sorted."""
+    s = Q.text_of("source")
+    forward = F.regexp_extract_all(s, F.lit(rf"(?:<=|<|>=|>|==|!=)\s*({Q.NUMBER})"), F.lit(1))
+    back = F.regexp_extract_all(s, F.lit(rf"({Q.NUMBER})\s*(?:<=|<|>=|>|==|!=)"), F.lit(1))
+    signs, values = (F.regexp_extract_all(s, F.lit(LENGTH_FORWARD), F.lit(i)) for i in (1, 2))
+    length = F.zip_with(signs, values, lambda sign, v: F.when((sign == "<") & (v.cast("int") > 0), v.cast("int") - 1).otherwise(v.cast("int")))
+    return df.select(key, F.array_sort(F.array_distinct(F.array_compact(F.transform(F.concat(forward, back), Q.to_number)))).alias("numeric_bounds"), F.array_sort(F.array_distinct(length)).alias("lengths"))
+
+
+def prompt_context(df: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """key, kind, place, snippet: the first few lines of each kind that a prompt tells of."""
+    kinds = {"condition": r"\b(?:if|while|switch)\s*\(", "loop": r"\bfor\s*\(", "exception": r"\bthrow\b|\bcatch\s*\(", "return": r"\breturn\b"}
+    lines = source_lines(df, key, "source")
+    named = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), n) for n, p in kinds.items()]))
+    rows = lines.select(key, "line", F.left("text", F.lit(160)).alias("snippet"), F.explode(named).alias("kind"))
+    place = F.row_number().over(Window.partitionBy(key, "kind").orderBy("line"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select(key, "kind", "place", "snippet")

@@ -60,3 +60,51 @@ def set_difference(left: DataFrame, right: DataFrame, names: list[str]) -> DataF
 def merge_counters(rows: DataFrame, keys: list[str], counter: str) -> DataFrame:
     """Summed open-key counters in long form: keys, measure, n."""
     return rows.select(*keys, F.explode(counter).alias("measure", "v")).groupBy(*keys, "measure").agg(F.sum("v").alias("n"))
+
+
+def reserved_budget(items: DataFrame, keys: list[str], order: list, direct: Column, weak: Column, reserved: Column) -> DataFrame:
+    """As budget, but the items ``reserved`` take direct evidence before the others."""
+    return budget(items, keys, [F.when(reserved, 0).otherwise(1), *order], direct, weak)
+
+
+def values_so_far(lines: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """The sorted set of non-null values at or before each line."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn(name, F.array_sort(F.collect_set(value).over(w)))
+
+
+def item_index(items: DataFrame, keys: list[str], order: list, name: str = "item_index") -> DataFrame:
+    """Items numbered from 1 in their row."""
+    return items.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def clamped_depth(tokens: DataFrame, keys: list[str], order: str, delta: Column) -> DataFrame:
+    """Running sum of ``delta`` that never falls below 0: the prefix sum less its lowest value so far, if that is negative."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = tokens.withColumn("_s", F.sum(delta).over(w))
+    return out.withColumn("depth", F.col("_s") - F.least(F.lit(0), F.min("_s").over(w))).drop("_s")
+
+
+def disjoint_union(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Both tables' rows with the problem 'overlap' on keys that are in both."""
+    both = left.unionByName(right, allowMissingColumns=True)
+    shared = left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi").withColumn("problem", F.lit("overlap"))
+    return both.join(shared, key, "left")
+
+
+def concatenated(*tables: DataFrame) -> DataFrame:
+    """All rows of several tables; columns that one lacks are null."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def longest_first(names):
+    """Names by falling length, ties by name: the order of substitution."""
+    return F.array_sort(names, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+
+
+def first_rows(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows in an explicit order."""
+    return rows.orderBy(*order).limit(n)

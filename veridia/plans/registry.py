@@ -7,9 +7,7 @@ both sides, as their order is free.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
@@ -19,40 +17,11 @@ from ..operators import joins as J
 from ..operators import obligations as O
 from ..operators import ranking as R
 from . import standins as T
+from .base import ORACLE_SQL, QUERIES, query, six
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "treatment_control_comparison"
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL; ROWS, ITEMS, MUTANTS and JAVA there name the derived tables."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            used = [f"{n} AS ({getattr(T, n)})" for n in ("ROWS", "ITEMS", "MUTANTS", "JAVA") if n in sql]
-            head = sql.lstrip()
-            if head.upper().startswith("WITH "):
-                head = head[5:].lstrip()
-                ORACLE_SQL[f.__name__] = "WITH " + ", ".join([*used, head])
-            else:
-                ORACLE_SQL[f.__name__] = ("WITH " + ", ".join(used) + " " if used else "") + head
-        return f
-
-    return add
-
-
-def six(df: DataFrame) -> DataFrame:
-    """Double columns rounded to six places."""
-    return df.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if t in ("double", "float") or t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
-
-
-def cohort(rows: DataFrame) -> DataFrame:
-    """Numerators and denominators per model, strategy, metric and construct."""
-    return rows.select("model", "strategy", "metric", "construct", "numerator", "denominator")
-
-
 @query("""
     WITH X AS (
         SELECT coalesce(model_id, 'None') AS model, prompt_template AS strategy, 'BVA' AS metric, category AS construct,
@@ -75,8 +44,7 @@ def treatment_control_comparison(spark, sf):
     cfa = F.struct(F.lit("CFA").alias("metric"), F.col("construct").alias("construct"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("numerator"), F.col("represented").cast("int").alias("denominator"))
     pairs = F.when(F.col("extreme_status") == "passed", F.array(bva, cfa)).otherwise(F.array(bva))
     long = both.select("row_id", "model", "strategy", F.explode(pairs).alias("x")).select("row_id", "model", "strategy", "x.*")
-    even = F.col("row_id") % 2 == 0
-    return six(J.compare_cohorts(cohort(long.where(even)), cohort(long.where(~even)), ["model", "strategy", "metric", "construct"]))
+    return six(J.compare_tagged(long.withColumn("treatment", F.col("row_id") % 2 == 0), "treatment", ["model", "strategy", "metric", "construct"]))
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (compile_passed) AS compiled, count(*) FILTER (execution_passed) AS executed,
@@ -280,17 +248,17 @@ def resume_pending(spark, sf):
     return J.resume(T.items(spark, sf).select("row_id", "item_id"), done, ["row_id"], "passed")
 
 
-@query("""SELECT row_id, model_id, complexity_bucket, EXISTS (SELECT 1 FROM (SELECT DISTINCT model_id AS m, complexity_bucket AS b FROM ROWS WHERE extreme_status = 'failed' AND row_id % 3 = 0) c
+@query("""SELECT row_id, model_id, complexity_bucket, EXISTS (SELECT 1 FROM (SELECT DISTINCT model_id AS m, complexity_bucket AS b FROM ROWS WHERE extreme_status = 'failed' AND failure_category = 'timeout_or_hang' AND prompt_template = '5-LOW') c
     WHERE c.m IS NOT DISTINCT FROM ROWS.model_id AND c.b IS NOT DISTINCT FROM ROWS.complexity_bucket) AS covered FROM ROWS""")
 def boundary_items_covered(spark, sf):
     rows = T.rows(spark, sf).select("row_id", "model_id", "complexity_bucket", "extreme_status")
-    covered = T.rows(spark, sf).where("extreme_status = 'failed' AND row_id % 3 = 0")
+    covered = T.rows(spark, sf).where("extreme_status = 'failed' AND failure_category = 'timeout_or_hang' AND prompt_template = '5-LOW'")
     return J.mark_covered(rows, covered, ["model_id", "complexity_bucket"]).drop("extreme_status")
 
 
-@query("""WITH H AS (SELECT i.row_id, i.item_id, list_sort(list_distinct(list(m.status))) AS s FROM ITEMS i JOIN MUTANTS m ON m.row_id = i.row_id AND m.line BETWEEN i.line AND i.line + 2 GROUP BY ALL)
+@query("""WITH H AS (SELECT i.row_id, i.item_id, i.line, list_sort(list_distinct(list(m.status))) AS s FROM ITEMS i JOIN MUTANTS m ON m.row_id = i.row_id AND m.line BETWEEN i.line AND i.line + 2 GROUP BY ALL)
     SELECT i.row_id, i.item_id, array_to_string(coalesce(s, []), ',') AS statuses, CASE WHEN list_contains(s, 'KILLED') THEN 'covered' WHEN list_contains(s, 'SURVIVED') OR list_contains(s, 'NO_COVERAGE') THEN 'missed' WHEN len(s) > 0 THEN 'other' ELSE 'unmutated' END AS match
-    FROM ITEMS i LEFT JOIN H ON H.row_id = i.row_id AND H.item_id = i.item_id""")
+    FROM ITEMS i LEFT JOIN H ON H.row_id = i.row_id AND H.item_id = i.item_id AND H.line = i.line""")
 def obligation_mutant_match(spark, sf):
     items = T.items(spark, sf).select("row_id", "item_id", F.sequence("line", F.col("line") + 2).alias("lines"))
     out = J.match_lines(items, T.mutants(spark, sf), ["row_id"])
@@ -364,11 +332,10 @@ def first_of_key(spark, sf):
     return R.keep_first(T.items(spark, sf).select("row_id", "construct", "item_id"), ["row_id", "construct"], "item_id")
 
 
-@query("""SELECT k, 'left' AS side FROM (SELECT p_partkey AS k FROM part EXCEPT ALL SELECT DISTINCT l_partkey FROM lineitem) UNION ALL
-    SELECT k, 'right' AS side FROM (SELECT DISTINCT l_partkey AS k FROM lineitem EXCEPT ALL SELECT p_partkey FROM part)""")
+@query("""SELECT k, 'left' AS side FROM (SELECT c_custkey AS k FROM customer EXCEPT ALL SELECT o_custkey FROM orders) UNION ALL
+    SELECT k, 'right' AS side FROM (SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer)""")
 def key_set_difference(spark, sf):
-    parts, used = T.table(spark, sf, "part").select(F.col("p_partkey").alias("k")), T.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("k")).distinct()
-    return R.set_difference(parts, used, ["k"])
+    return R.set_difference(T.table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), T.table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS k, count(*) AS n FROM events GROUP BY ALL")
@@ -388,7 +355,7 @@ def first_match_class(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", C.first_match(F.col("text"), rules, "other").alias("class"))
 
 
-@query("""WITH O AS (SELECT coalesce(model_id, 'unknown') AS model, prompt_template AS pipeline, CASE WHEN coalesce(execution_passed, false) THEN 'passed' WHEN coalesce(nullif(failure_category, ''), 'unknown') = 'timeout_or_hang' THEN 'timeout_or_hang'
+@query("""WITH O AS (SELECT coalesce(model_id, 'unknown-model') AS model, prompt_template AS pipeline, CASE WHEN coalesce(execution_passed, false) THEN 'passed' WHEN coalesce(nullif(failure_category, ''), 'unknown') = 'timeout_or_hang' THEN 'timeout_or_hang'
         WHEN failure_family = 'compile_failure' THEN 'compile_failure' WHEN failure_family = 'execution_failure' THEN 'execution_failure' ELSE 'unknown_failure' END AS outcome FROM ROWS)
     SELECT model, pipeline, count(*) AS total, count(*) FILTER (outcome = 'passed') AS passed, count(*) FILTER (outcome = 'compile_failure') AS compile_failure, count(*) FILTER (outcome = 'execution_failure') AS execution_failure,
         count(*) FILTER (outcome = 'timeout_or_hang') AS timeout_or_hang, count(*) FILTER (outcome = 'unknown_failure') AS unknown_failure FROM O GROUP BY ALL""")
@@ -435,28 +402,6 @@ def incidental_policy(spark, sf):
     return six(T.items(spark, sf).groupBy("construct").agg(F.avg(C.variant_score(F.col("outcome"), "exclude")).alias("excluded"), F.avg(C.variant_score(F.col("outcome"))).alias("zeroed")))
 
 
-@query("""WITH L AS (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS ls FROM documents), N AS (SELECT doc_id, generate_subscripts(ls, 1) AS line, trim(unnest(ls)) AS t FROM L)
-    SELECT doc_id, CAST(line AS INT) AS line, left(t, 240) AS snippet FROM N WHERE t <> '' AND NOT regexp_matches(t, '^(?:import |package |//|/\\*|\\*)') AND regexp_matches(t, '[0-9]{6,}|Licensed')""")
-def pattern_lines(spark, sf):
-    return O.pattern_lines(T.table(spark, sf, "documents"), "doc_id", "text", "[0-9]{6,}|Licensed")
-
-
-@query("""SELECT row_id, line, signal, construct, CAST(NULL AS STRING) AS case_value, CAST(NULL AS INT) AS switch_line, snippet FROM (
-    SELECT row_id, 3 AS line, 'if_condition' AS signal, 'if' AS construct, concat('if (n < ', CAST(bound AS STRING), ') {') AS snippet FROM JAVA UNION ALL SELECT row_id, 6, 'try_normal', 'try', 'try {' FROM JAVA
-    UNION ALL SELECT row_id, 8, 'catch_exception', 'catch', '} catch (E e) {' FROM JAVA UNION ALL SELECT row_id, 11, 'exception_path', 'exception_path', 'throw new E();' FROM JAVA)""")
-def control_flow_obligations(spark, sf):
-    return O.control_flow_obligations(T.java(spark, sf), "row_id", "source")
-
-
-@query("""WITH N AS (SELECT row_id, 'number:' || CAST(CAST(bound AS DOUBLE) AS STRING) AS b, bound, arg, brand, row_id % 4 AS k FROM JAVA)
-    SELECT row_id, 0 AS parameter, 'zero' AS category, CAST(NULL AS STRING) AS bound, arg = 0 AS covered FROM N UNION ALL SELECT row_id, 0, 'negative', NULL, arg < 0 FROM N
-    UNION ALL SELECT row_id, 0, 'below_inferred_bound', b, arg < bound FROM N UNION ALL SELECT row_id, 0, 'at_inferred_bound', b, arg = bound FROM N UNION ALL SELECT row_id, 0, 'above_inferred_bound', b, arg > bound FROM N
-    UNION ALL SELECT row_id, 1, 'null', NULL, k = 0 FROM N UNION ALL SELECT row_id, 1, 'empty', NULL, k = 1 FROM N
-    UNION ALL SELECT row_id, 1, 'same_inferred_bound', 'string:' || brand, k = 2 FROM N UNION ALL SELECT row_id, 1, 'different_inferred_bound', 'not:' || brand, k IN (1, 3) FROM N""")
-def boundary_evidence(spark, sf):
-    return O.boundary_evidence(T.java(spark, sf), "row_id")
-
-
 @query("""WITH N AS (SELECT row_id, source, concat('(n < ', CAST(bound AS STRING), ')') AS c FROM JAVA)
     SELECT row_id, 3 AS line, 'if' AS construct, 'condition_true' AS variant, replace(source, c, '(true)') AS mutated FROM N UNION ALL SELECT row_id, 3, 'if', 'condition_false', replace(source, c, '(false)') FROM N
     UNION ALL SELECT row_id, 8, 'catch', 'catch_body_noop', replace(source, concat('{', chr(10), '   h();', chr(10), '  }'), '{}') FROM N
@@ -465,23 +410,11 @@ def mutant_sources(spark, sf):
     return O.mutants(T.java(spark, sf), "row_id")
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '\\bth[a-z]+')) AS hits FROM documents""")
-def pattern_counts(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\bth[a-z]+")).cast("long").alias("hits"))
-
-
 @query("""SELECT complexity_bucket, CASE WHEN reached_items IS NULL THEN 'not_applicable' WHEN reached_items = 0 THEN 'no_visible_oracle' WHEN reached_items = 1 THEN 'weak_visible_oracle' ELSE 'direct_obligation_oracle' END AS label, count(*) AS n FROM ROWS GROUP BY ALL""")
 def strength_labels(spark, sf):
     return T.rows(spark, sf).groupBy("complexity_bucket", C.strength_label(F.col("reached_items")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH K AS (SELECT row_id, CASE row_id % 9 WHEN 0 THEN 'java.util.List<String>' WHEN 1 THEN 'int[]' WHEN 2 THEN 'boolean' WHEN 3 THEN 'Character' WHEN 4 THEN 'Double' WHEN 5 THEN 'String' WHEN 6 THEN 'Class<?>' WHEN 7 THEN 'Node' ELSE '' END AS k FROM ROWS)
-    SELECT row_id, CASE row_id % 9 WHEN 0 THEN 'collection' WHEN 1 THEN 'array' WHEN 2 THEN 'boolean' WHEN 3 THEN 'char' WHEN 4 THEN 'numeric' WHEN 5 THEN 'string' WHEN 6 THEN 'class' WHEN 7 THEN 'domain_object' ELSE 'unknown' END AS category FROM K""")
-def return_type_categories(spark, sf):
-    kinds = F.array(*map(F.lit, ["java.util.List<String>", "int[]", "boolean", "Character", "Double", "String", "Class<?>", "Node", ""]))
-    return T.rows(spark, sf).select("row_id", C.return_type_category(F.get(kinds, (F.col("row_id") % 9).cast("int"))).alias("category"))
-
-
 @query("""SELECT construct, CAST(coalesce(nullif(list_position(['if', 'else_if', 'case', 'default', 'catch', 'exception_path', 'ternary', 'other'], construct), 0), 1073741824) AS BIGINT) AS place, count(*) AS n FROM MUTANTS GROUP BY ALL""")
 def display_order(spark, sf):
     return T.mutants(spark, sf).groupBy("construct").agg(F.count(F.lit(1)).alias("n")).select("construct", S.fixed_order(F.col("construct"), C.CONTROL_FLOW_DISPLAY).cast("long").alias("place"), "n")
@@ -528,23 +461,6 @@ def item_groups(spark, sf):
     return T.items(spark, sf).groupBy("row_id", "construct", "category").agg(F.min("outcome").alias("best"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, trim(regexp_extract(text, '([0-9A-Za-z.]+)@', 1)) AS account, CASE WHEN regexp_matches(text, '[0-9]{12,}') THEN CAST(regexp_extract(text, '([0-9]{12,})', 1)[1:9] AS BIGINT) END AS head FROM documents""")
-def log_captures(spark, sf):
-    n = F.regexp_extract("text", "([0-9]{12,})", 1)
-    return T.table(spark, sf, "documents").select("doc_id", F.trim(F.regexp_extract("text", "([0-9A-Za-z.]+)@", 1)).alias("account"), F.when(n != "", F.left(n, F.lit(9)).cast("long")).alias("head"))
-
-
-LOGS = ["java.lang.NullPointerException: x", "[ERROR] org.opentest4j.AssertionFailedError: expected", "Process Exit Code: 137", "# SIGSEGV (0xb)", "java.lang.reflect.InvocationTargetException", "Caused by: java.io.IOException: y", "build ok"]
-
-
-@query("""SELECT row_id, CASE row_id % 7 WHEN 0 THEN 'killed_incidentally' WHEN 1 THEN 'killed_by_oracle' WHEN 2 THEN 'killed_incidentally' WHEN 3 THEN 'killed_incidentally' WHEN 4 THEN 'coverage_unverified' WHEN 5 THEN 'killed_incidentally' ELSE 'coverage_unverified' END AS outcome,
-    CASE row_id % 7 WHEN 0 THEN 'unhandled_exception:java.lang.NullPointerException' WHEN 1 THEN 'assertion_failure:org.opentest4j.AssertionFailedError' WHEN 2 THEN 'process_terminated:137' WHEN 3 THEN 'jvm_crash' WHEN 4 THEN 'failure_type_unverified'
-    WHEN 5 THEN 'unhandled_exception:java.io.IOException' ELSE 'failure_type_unverified' END AS reason FROM ROWS""")
-def kill_classes(spark, sf):
-    log = F.get(F.array(*map(F.lit, LOGS)), (F.col("row_id") % 7).cast("int"))
-    return T.rows(spark, sf).select("row_id", C.kill_class(log).alias("k")).select("row_id", "k.*")
-
-
 @query("""WITH M AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'NegateConditionalsMutator' WHEN 1 THEN 'NullReturnValsMutator' WHEN 2 THEN 'MathMutator' WHEN 3 THEN 'NonVoidMethodCallMutator' ELSE 'VoidMutator' END AS m FROM part),
     L AS (SELECT *, lower(m) AS l FROM M) SELECT p_partkey, CASE WHEN l LIKE '%conditional%' THEN 'branch_condition' WHEN l LIKE '%null%' THEN 'null_handling' WHEN l LIKE '%return%' THEN 'weak_oracle_return' WHEN l LIKE '%math%' THEN 'numeric_boundary' ELSE 'other' END AS class,
     CASE WHEN l LIKE '%conditional%' THEN 'branch_condition' WHEN l LIKE '%return%' THEN 'boundary_value,weak_oracle' WHEN l LIKE '%math%' THEN 'boundary_value' WHEN l LIKE '%nonvoid%' THEN 'interaction_dependency' ELSE '' END AS categories FROM L""")
@@ -557,3 +473,4 @@ def mutator_classes(spark, sf):
 @query("SELECT row_id, 'return_behavior' AS signal, 4 AS line, 'return 0;' AS snippet FROM JAVA UNION ALL SELECT row_id, 'exception_behavior', 11, 'throw new E();' FROM JAVA")
 def oracle_obligations(spark, sf):
     return O.oracle_obligations(T.java(spark, sf), "row_id")
+from . import registry_rows, registry_text  # noqa: E402, F401  register the queries of row profiles, tables and texts
