@@ -11,9 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import javaclasses as K
 from ..functions import javasql as Q
 from ..functions import javatext as J
-from ..functions.classify import dependency_kind
+from ..functions.classify import dependency_kind, rule_subcategory
 from ..functions.semantics import ratio
 
 SNIPPET = 240
@@ -223,7 +224,21 @@ def _mutant_pass(df: DataFrame, key: str, make) -> DataFrame:
 
 def mutants(df: DataFrame, key: str) -> DataFrame:
     """key, line, construct, variant, mutated: control-flow and return mutants of every source."""
-    return _mutant_pass(df, key, lambda source, signature: J.control_flow_mutants(source) + J.return_mutants(source, signature))
+    returns = lambda source, signature: [m[:4] for m in K.return_mutants(source, signature) if m[3] is not None]
+    return _mutant_pass(df, key, lambda source, signature: J.control_flow_mutants(source) + returns(source, signature))
+
+
+def return_rules(df: DataFrame, key: str) -> DataFrame:
+    """key, line, operator_rule, subcategory, generated: the rule by which each returned value of (source, signature) is changed, or refused."""
+    of = lambda source, signature: [(m[0], m[4], m[3] is not None) for m in K.return_mutants(source or "", signature or "")]
+    out = _pass(df, key, ["source", "signature"], "line int, operator_rule string, generated boolean", of)
+    return out.withColumn("subcategory", rule_subcategory(F.col("operator_rule")))
+
+
+def class_observability(df: DataFrame, key: str, names: str) -> DataFrame:
+    """key, name, signal, makeable of the classes of a source whose names are in an array column."""
+    of = lambda source, held: [(n, K.observability(source or "", n), K.no_argument_constructor(source or "", n)) for n in held]
+    return _pass(df, key, ["source", names], "name string, signal string, makeable boolean", of)
 
 
 def case_and_fallback_mutants(df: DataFrame, key: str) -> DataFrame:

@@ -100,6 +100,20 @@ def case_and_fallback_mutants(spark, sf):
     return O.case_and_fallback_mutants(T.methods(spark, sf), "row_id")
 
 
+@query(r"""WITH L0 AS (SELECT row_id, kind, string_split(source, chr(10)) AS ls FROM METHODS), L AS (SELECT row_id, kind, generate_subscripts(ls, 1) AS line, unnest(ls) AS raw FROM L0),
+    R AS (SELECT row_id, kind, CAST(line AS INT) AS line, trim(regexp_extract(raw, '\breturn\s+([^;]+);', 1)) AS v FROM L WHERE regexp_matches(raw, '\breturn\s+[^;]+;')),
+    N AS (SELECT *, regexp_matches(v, '^-?[0-9]+$') AS num FROM R)
+    SELECT row_id, line, CASE kind WHEN 'boolean' THEN 'boolean_negate' WHEN 'String' THEN 'string_expression_concatenated_noop_safe' WHEN 'int' THEN CASE WHEN num THEN 'numeric_zero_or_one_literal_only' ELSE 'integral_expression_plus_one_noop_safe' END ELSE 'opaque_object_degenerate_null' END AS operator_rule,
+        true AS generated, CASE kind WHEN 'boolean' THEN 'boolean' WHEN 'String' THEN 'string' WHEN 'int' THEN 'numeric' ELSE 'object' END AS subcategory FROM N WHERE v <> '' AND kind <> 'void'""")
+def return_rules(spark, sf):
+    return O.return_rules(T.methods(spark, sf).where("kind <> 'void'"), "row_id")
+
+
+@query("""SELECT row_id, 'Inner' AS name, CAST(NULL AS STRING) AS signal, shape = 5 AS makeable FROM METHODS UNION ALL SELECT row_id, 'Subject', CASE WHEN shape IN (3) THEN NULL END, true FROM METHODS""")
+def class_observability(spark, sf):
+    return O.class_observability(T.methods(spark, sf).withColumn("names", F.array(F.lit("Inner"), F.lit("Subject"))), "row_id", "names")
+
+
 @query()
 def oracle_mutants(spark, sf):
     return O.oracle_mutants(T.methods(spark, sf), "row_id")
