@@ -1,13 +1,14 @@
 """Operators on texts and pages: round trips, brute force, held-out accuracy, odd inputs."""
 
 import hashlib
+import os
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from veridia.llm import html_extract, mixing, packing, quality, sentencepiece_tok, toxicity, warc
+from veridia.llm import html_extract, mixing, packing, quality, queries, sentencepiece_tok, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 DOCS_NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,6 +30,24 @@ def test_sentencepiece_parity_and_round_trip(spark):
     for r in got:
         assert list(r["ids"]) == own.encode(texts[r["doc_id"]] or "") and r["n_tokens"] == len(r["ids"]) and r["decoded_ok"]
     assert sentencepiece_tok.encode_documents(docs(spark, []), MODEL).count() == 0
+    every = sentencepiece_tok.encode_documents(docs(spark, ODD), MODEL, verify_all=True).collect()
+    assert sorted(map(str, every)) == sorted(map(str, got))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    columns = sorted(df.columns)
+    found = con.execute(queries.ORACLE_SQL[name])
+    at = [[d[0] for d in found.description].index(c) for c in columns]
+    assert sorted(str(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(str(tuple(r[i] for i in at)) for r in found.fetchall())
 
 
 def unigram_model():

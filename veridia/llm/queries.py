@@ -53,16 +53,37 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_mixing that SQL can say."""
+    return op9_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ann, op2_embedding_dedup, op3_sentencepiece, op4_minhash_dedup, op5_quality, op6_warc, op7_token_packing, op8_toxicity, op9_mixing, op10_html_extraction)
+    for f in (op1_ann, op2_embedding_dedup, op3_sentencepiece, op4_minhash_dedup, op5_quality, op6_warc, op7_token_packing, op8_toxicity, op9_mixing, op10_html_extraction, mixing_targets)
 }
 
 ORACLE_SQL = {
+    # sources by falling need for their limit: those whose limit lies below the common level stop there
+    "mixing_targets": """
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+        s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+            FROM d GROUP BY source),
+        o AS (
+            SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / w, source) AS k FROM s),
+        l AS (
+            SELECT a.k, (1.5 * (SELECT sum(source_size) FROM s) - coalesce(sum(CASE WHEN b.k < a.k THEN 2.0 * b.source_size END), 0)) / sum(CASE WHEN b.k >= a.k THEN b.w END) AS level, any_value(2.0 * a.source_size / a.w) AS own
+            FROM o a, o b GROUP BY a.k),
+        m AS (
+            SELECT coalesce(arg_min(level, k) FILTER (level <= own), 0) AS level FROM l)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(least(2.0 * source_size, level * w), 4) AS target
+        FROM d JOIN o ON o.source IS NOT DISTINCT FROM d.source, m""",
     "op6_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
