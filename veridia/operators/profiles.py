@@ -6,7 +6,7 @@ row is one join of small aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -279,3 +279,19 @@ def error_rows(tasks: DataFrame, measures: dict[str, str], stage: str = "model_e
     """Rows of tasks whose generation failed: flags false, every measure null."""
     flags = {"compile_passed": F.lit(False), "execution_passed": F.lit(False), "error_stage": F.lit(stage)}
     return tasks.withColumns(flags | {n: F.lit(None).cast(t) for n, t in measures.items()})
+
+
+def task_metadata(tasks: DataFrame, columns: list[str], key: str = "task_id") -> DataFrame:
+    """One row of named metadata per task, sorted by task; columns that are not there are null."""
+    own = [F.col(c) if c in tasks.columns else F.lit(None).cast("string").alias(c) for c in columns]
+    return tasks.select(key, *own).dropDuplicates([key]).orderBy(key)
+
+
+def select_items(items: DataFrame, constructs=(), variant: str | None = None, limit: int | None = None, keys: list[str] | None = None, order: list | None = None) -> DataFrame:
+    """Items to process: of some constructs, with a variant, and only the first few of each row."""
+    out = scoped_items(items, constructs)
+    out = out if variant is None else out.where(F.col("variant") == variant)
+    if limit is None:
+        return out
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return out.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")

@@ -320,6 +320,18 @@ def scoped_items(spark, sf):
     return P.scoped_items(T.items(spark, sf), C.PRIMARY_CONSTRUCTS).select("row_id", "item_id")
 
 
+@query("""SELECT row_id, item_id, construct FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY item_id, line, parameter) AS k FROM ITEMS WHERE construct = 'return_behavior' AND category = 'at_inferred_bound') WHERE k <= 1""")
+def selected_items(spark, sf):
+    items = T.items(spark, sf).withColumn("variant", F.col("category"))
+    return P.select_items(items, ["return_behavior"], "at_inferred_bound", 1, ["row_id"], ["item_id", "line", "parameter"]).select("row_id", "item_id", "construct")
+
+
+@query("SELECT p_partkey AS task_id, p_brand AS brand, CAST(NULL AS STRING) AS license FROM part")
+def task_metadata(spark, sf):
+    tasks = T.table(spark, sf, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_brand").alias("brand"))
+    return P.task_metadata(tasks, ["brand", "license"])
+
+
 @query("SELECT p_partkey AS task_id, false AS compile_passed, false AS execution_passed, 'model_error' AS error_stage, CAST(NULL AS DOUBLE) AS score FROM part")
 def model_error_rows(spark, sf):
     return P.error_rows(T.table(spark, sf, "part").select(F.col("p_partkey").alias("task_id")), {"score": "double"})
