@@ -22,6 +22,7 @@ class Member:
     name: str
     parameters: list[str] | None = None  # None: a field
     body: str = ""
+    modifiers: frozenset = frozenset()
 
 
 @dataclass
@@ -93,7 +94,7 @@ def member(body: str, ts: list[Token], at: int, out: Shape) -> int:
         if t in ("public", "protected", "private"):
             access = t
         if t == "(" and not generic:
-            words = [x for x in ts[start:at] if x.text not in MODIFIERS]
+            words, told = [x for x in ts[start:at] if x.text not in MODIFIERS], frozenset(x.text for x in ts[start:at]) & MODIFIERS
             end = behind(ts, at + 1, (")",))
             stop = behind(ts, end + 1, ("{", ";"))
             name = words[-1].text if words else ""
@@ -101,7 +102,7 @@ def member(body: str, ts: list[Token], at: int, out: Shape) -> int:
             inner = behind(ts, stop + 1, ("}",)) if stop < len(ts) and ts[stop].text == "{" else stop
             text = body[ts[stop].end : ts[inner].start] if inner < len(ts) and inner != stop else ""
             close = ts[end].start if end < len(ts) else len(body)
-            out.members.append(Member(access, re.sub(r"^<[^>]*>\s*", "", kind), name, split_arguments(body[ts[at].end : close]), text))
+            out.members.append(Member(access, re.sub(r"^<[^>]*>\s*", "", kind), name, split_arguments(body[ts[at].end : close]), text, told))
             return inner + 1
         if t in ("class", "record", "enum", "interface") and not generic:
             opens = behind(ts, at + 1, ("{", ";"))
@@ -109,7 +110,8 @@ def member(body: str, ts: list[Token], at: int, out: Shape) -> int:
         if t in ("=", ";") and not generic:
             words = [x for x in ts[start:at] if x.text not in MODIFIERS]
             if len(words) > 1:
-                out.members.append(Member(access, body[words[0].start : words[-1].start].strip(), words[-1].text))
+                told = frozenset(x.text for x in ts[start:at]) & MODIFIERS
+                out.members.append(Member(access, body[words[0].start : words[-1].start].strip(), words[-1].text, modifiers=told))
             return (at if t == ";" else behind(ts, at + 1, (";",))) + 1
         if t == "{":
             return behind(ts, at + 1, ("}",)) + 1

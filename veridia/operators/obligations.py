@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import javaclasses as K
 from ..functions import javasql as Q
+from ..functions import javastate as Z
 from ..functions import javatext as J
 from ..functions.classify import dependency_kind, rule_subcategory
 from ..functions.semantics import ratio
@@ -478,3 +479,21 @@ def prompt_context(df: DataFrame, key: str, most: int = 8) -> DataFrame:
     rows = lines.select(key, "line", F.left("text", F.lit(160)).alias("snippet"), F.explode(named).alias("kind"))
     place = F.row_number().over(Window.partitionBy(key, "kind").orderBy("line"))
     return rows.withColumn("place", place).where(F.col("place") <= most).select(key, "kind", "place", "snippet")
+
+
+def state_obligations(df: DataFrame, key: str) -> DataFrame:
+    """key, line, snippet, target, scope, case: writes of the target to static state, once per initial case worth a test."""
+    of = lambda source, signature: Z.state_obligations(source or "", signature or "")
+    return _pass(df, key, ["source", "signature"], "line int, snippet string, target string, scope string, case string", of)
+
+
+def state_evidence(df: DataFrame, key: str) -> DataFrame:
+    """key, target, case, set_up, asserted, sequence of the state obligations: whether the test sets the case up, and also checks the state."""
+
+    def of(source, signature, test):
+        name, test = J.parse_signature(signature).name, test or ""
+        for target, case in dict.fromkeys((t, c) for _, _, t, _, c in Z.state_obligations(source or "", signature or "")):
+            ready = case in Z.state_setups(test, name, target)
+            yield target, case, ready, ready and Z.state_checked(test, name, target), Z.sequence_score(test, name)
+
+    return _pass(df, key, ["source", "signature", "test_code"], "target string, case string, set_up boolean, asserted boolean, sequence double", of)

@@ -95,6 +95,17 @@ def obligation_totals(spark, sf):
     return O.obligation_totals(T.methods(spark, sf), "row_id")
 
 
+@query("""SELECT row_id, 5 AS line, 'count += n;' AS snippet, 'count' AS target, 'static_field' AS scope, unnest(['zero', 'negative', 'positive_normal']) AS "case" FROM METHODS WHERE contains(source, 'count += n')
+    UNION ALL SELECT row_id, 6, 'Other.last = s;', 'Other.last', 'static_class_property', 'positive_normal' FROM METHODS WHERE contains(source, 'Other.last = s')""")
+def state_obligations(spark, sf):
+    return O.state_obligations(T.methods(spark, sf), "row_id")
+
+
+@query()
+def state_evidence(spark, sf):
+    return O.state_evidence(T.methods(spark, sf), "row_id")
+
+
 @query()
 def case_and_fallback_mutants(spark, sf):
     return O.case_and_fallback_mutants(T.methods(spark, sf), "row_id")

@@ -70,7 +70,7 @@ SELECT p_partkey AS row_id, p_partkey % 6 AS shape, p_size AS bound, p_partkey %
        WHEN 0 THEN concat('package a.b;~import java.util.*;~class Subject {~^// if (x) throw new E();~^int f(int n, String s) {~^^if (n < ', CAST(p_size AS STRING), ') {~^^^return 0;~^^} else if (n > ', CAST(p_size AS STRING), ') {~^^^return n;~^^}~^^/* throw it */~^^throw new IllegalStateException("low ', p_brand, '");~^}~}')
        WHEN 1 THEN concat('class Subject {~ int f(int n, String s) {~  switch (n) {~   case 1:~   case 2:~    return 7;~   case ', CAST(p_size + 2 AS STRING), ':~    g(s);~    break;~   default:~    return s.equals("', p_brand, '") ? 1 : 2;~  }~  return 3;~ }~}')
        WHEN 2 THEN concat('class Subject {~ Map<String, ? extends List<Integer>> m = null;~ public int g(int a) { return a > 0 ? 1 : 2; }~ int f(int n, String s) {~  int k = n >= ', CAST(p_size AS STRING), '~    ? 4~    : 5;~  return k > 4 ? k : n;~ }~}')
-       WHEN 3 THEN concat('class Subject {~ static final int MAX = ', CAST(p_size AS STRING), ';~ int f(int n, String s) {~  for (int i = 0; i < n; i++) {~   h(i);~  }~  for (String t : all(s)) { h(t); }~  while (n == ', CAST(p_size AS STRING), ') n--;~  return n;~ }~}')
+       WHEN 3 THEN concat('class Subject {~ static final int MAX = ', CAST(p_size AS STRING), ';~ static int count;~ int f(int n, String s) {~  count += n;~  Other.last = s;~  for (int i = 0; i < n; i++) {~   h(i);~  }~  for (String t : all(s)) { h(t); }~  while (n == ', CAST(p_size AS STRING), ') n--;~  return n;~ }~}')
        WHEN 4 THEN concat('class Subject {~ void f(int n, String s) {~  try {~   Files.write(path, s);~   int code = conn.getResponseCode();~   client.send(s);~   task.execute(s);~  } catch (IOException e) {~   throw new RuntimeException(e);~  }~  if (', CAST(p_size AS STRING), ' <= n) { return; }~ }~}')
        ELSE concat('class Subject {~ private static class Inner {~  int z(int n) {~   if (n > 99) { return 1; }~   return 2;~  }~ }~ int f(int n, String s) {~  Runnable r = new Runnable() {~   public int run(int q) {~    return 8;~   }~  };~  if (n != ', CAST(p_size AS STRING), ' && s == null) return 6;~  return 9;~ }~}') END AS source,
        concat('@Test~void t() {~  // assertTrue(false);~  int got = Subject.f(', CAST(p_partkey % 60 - 5 AS STRING), ', ', CASE p_size % 4 WHEN 0 THEN 'null' WHEN 1 THEN '""' WHEN 2 THEN concat('"', p_brand, '"') ELSE '"other"' END, ');~',
