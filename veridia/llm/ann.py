@@ -81,12 +81,7 @@ class CentroidGraph:
         self.sq = (centroids**2).sum(1)
         self.entry = np.unique(np.linspace(0, len(centroids) - 1, min(len(centroids), 16)).astype(int))
 
-    def distances(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Squared distance of each query to its row of centroid ids."""
-        d = (q**2).sum(1)[:, None] + self.sq[ids] - 2 * np.einsum("ij,ikj->ik", q, self.c[ids], optimize=True)
-        return np.maximum(d, 0)
-
-    def beam(self, q: np.ndarray, width: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def beam(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: none) and squared distances of about the ``width`` nearest centroids of each query, nearest first.
 
         All queries advance together: each step expands the nearest members of
@@ -94,8 +89,9 @@ class CentroidGraph:
         few beams, whatever the number of centroids.
         """
         n, width = len(q), min(width, len(self.c))
-        ids = np.tile(self.entry, (n, 1))
-        d = self.distances(q, ids)
+        expand = max(4, width // 16)
+        qs, ids = (q**2).sum(1), np.tile(self.entry, (n, 1))
+        d = np.maximum(qs[:, None] + self.sq[self.entry] - 2 * q @ self.c[self.entry].T, 0)
         done = np.zeros(ids.shape, bool)
         live = np.arange(n)
         full = [np.full((n, width), -1), np.full((n, width), np.inf)]
@@ -116,20 +112,22 @@ class CentroidGraph:
             new = self.links[np.take_along_axis(ids, pick, 1)]
             new = np.where(real[:, :, None], new, -1).reshape(len(live), -1)
             np.put_along_axis(done, pick, True, 1)
-            new.sort(1)
-            fresh = (new >= 0) & np.concatenate((np.ones((len(new), 1), bool), new[:, 1:] != new[:, :-1]), 1)
-            held = np.sort(ids, 1)
-            for i in range(len(live)):
-                fresh[i] &= ~np.isin(new[i], held[i], assume_unique=False)
+            both = np.concatenate((ids, new), 1)
+            order = np.argsort(both, 1, kind="stable")  # a beam's members stand before new ones of the same id
+            told = np.take_along_axis(both, order, 1)
+            again = np.zeros(both.shape, bool)
+            np.put_along_axis(again, order[:, 1:], told[:, 1:] == told[:, :-1], 1)
+            row, col = np.nonzero(~again[:, ids.shape[1] :] & (new >= 0))
             e = np.full(new.shape, np.inf)
             at = np.maximum(new, 0)
-            e[fresh] = self.distances(q[live], at)[fresh]
+            e[row, col] = np.maximum(qs[live[row]] + self.sq[new[row, col]] - 2 * np.einsum("ij,ij->i", q[live[row]], self.c[new[row, col]]), 0)
             ids, d = np.concatenate((ids, at), 1), np.concatenate((d, e), 1)
             done = np.concatenate((done, np.zeros(new.shape, bool)), 1)
 
-    def within(self, q: np.ndarray, ratio: float, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, q: np.ndarray, ratio: float, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(query row, centroid) of all centroids found within 1 + ratio times the reference distance; the beam widens until it holds them."""
         rank = max(1, int(len(self.c) ** 0.5 / 2))
+        width = width or max(64, len(self.c) // 4)
         ids, d = self.beam(q, max(width, rank))
         limit = (1 + ratio) ** 2 * d[:, rank - 1 : rank] + 1e-12
         wide = (d[:, -1] <= limit[:, 0]) & (width < len(self.c))
@@ -155,7 +153,7 @@ def fit_lists(vectors: DataFrame, n: int, dim: int, list_size: int = LIST_SIZE,
 
 def posting_rows(graph: CentroidGraph, x: np.ndarray, copies: int, boundary: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of each vector: its nearest list and up to ``copies - 1`` more that are nearly as near."""
-    ids, d = graph.beam(x, max(16, 2 * copies))
+    ids, d = graph.beam(x, max(24, 2 * copies))
     ids, d = ids[:, :copies], d[:, :copies]
     near = (ids >= 0) & (d <= (1 + boundary) ** 2 * d[:, :1] + 1e-12)
     return np.nonzero(near)[0], ids[near]
