@@ -238,7 +238,7 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, verify_
     small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         data = f.read()
-    raw = send(docs.sparkSession, (data, Backend(data).tok.to_str()))
+    raw = send(docs.sparkSession, {"data": data, "ready": Backend(data).tok.to_str()})
     trim()
 
     def run(batches):
@@ -246,7 +246,10 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, verify_
 
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        backend, checked = Backend(raw.value[0], False, raw.value[1]), False
+        own, checked = raw.value, False
+        if "backend" not in own:  # one for a worker's life: every tokenizer made leaves some memory behind
+            own["backend"] = Backend(own["data"], False, own["ready"])
+        backend = own["backend"]
         for batch in batches:
             for some in slices(batch, batch.column(1), SLICE, SLICE_BYTES):
                 texts = [t or "" for t in some.column(1).to_pylist()]
