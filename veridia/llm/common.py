@@ -107,7 +107,7 @@ def few_arenas() -> None:
     try:
         libc = ctypes.CDLL(None)
         libc.mallopt(-8, 2)  # arenas
-        libc.mallopt(-3, 1 << 20)  # bytes from which an allocation is a mapping of its own
+        libc.mallopt(-3, 1 << 24)  # bytes from which an allocation is a mapping of its own; scratch arrays are smaller
     except (AttributeError, OSError):  # another C library than glibc
         pass
 
