@@ -1,10 +1,14 @@
 """The corpus pipeline, stage by stage, against what each stage promises."""
 
+import re
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from veridia.llm import minhash, mixing
+from veridia.llm.common import store
 
 from .test_pairs import brute_links, roots
 
@@ -87,3 +91,17 @@ def test_bands_miss_few_pairs_at_the_threshold():
     assert minhash.band_count(85) == minhash.BANDS and minhash.slack(85) == minhash.SLACK < minhash.slack(80)
     with pytest.raises(ValueError):
         minhash.band_count(50)
+
+
+def test_a_stored_table_leaves_no_freed_memory_in_the_driver(spark):
+    """Memory outside the JVM's heap that was freed between pieces still in use goes back to the system."""
+    pid = spark._jvm.ProcessHandle.current().pid()
+    held = lambda: sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text()))) / 1024
+    store(spark.range(1), "test-first")  # with what any first write takes
+    made = [spark._jvm.java.util.zip.Deflater() for _ in range(600)]
+    full = held()
+    for i, x in enumerate(made):
+        if i % 20:
+            x.end()
+    store(spark.range(1), "test-second")
+    assert held() < full - 40

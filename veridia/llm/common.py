@@ -43,6 +43,7 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    trim_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     _held.append(path)
@@ -100,6 +101,28 @@ def trim() -> None:
         pass
 
 
+def trim_driver(spark: SparkSession, collect: bool = False) -> bool:
+    """As :func:`trim`, in the driver's Python and its JVM; ``collect``: collect the JVM's garbage first, which shrinks its heap.
+
+    Compilers and buffers of the JVM allocate outside its heap, and the
+    allocator keeps what they free; over many plans that adds up. False where
+    the JVM cannot be asked (no HotSpot, or one older than 17.0.9).
+    """
+    trim()
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        if collect:
+            jvm.System.gc()
+        # by the interface's own method: the class behind it is not open to the gateway
+        named, kinds, values = jvm.java.lang.Class.forName, new(jvm.Class, 4), new(jvm.Object, 4)
+        kinds[0], kinds[1], kinds[2], kinds[3] = map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Exception:  # noqa: BLE001  memory is kept, nothing else
+        return False
+    return True
+
+
 def few_arenas() -> None:
     """Keep this process's freed memory in one piece: few allocation arenas, large arrays apart."""
     import ctypes

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_stored, frugal, lower, mix, powers, schema_with, send, slabs, slices, small_batches, store, text_buffers, trim, word_bounds
+from .common import SPACE, drop_stored, frugal, lower, mix, powers, schema_with, send, slabs, slices, small_batches, store, text_buffers, trim, trim_driver, word_bounds
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -324,7 +324,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int = 2_0
     del spelled, buckets
     sent.destroy()
     by = np.lexsort((bucket, word))  # whatever order the tasks' answers came in
-    table = train(data, types, word[by], bucket[by])
+    word, bucket = word[by], bucket[by]
+    del by
+    trim_driver(spark, collect=True)  # the JVM is idle while Python takes its most
+    table = train(data, types, word, bucket)
+    del data, word, bucket
     held = order[:n_held]
     sent = spark.sparkContext.broadcast(table)
 
